@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, linededup, packing, simhash
+from . import htmltext, langid, linededup, packing, postings, rpforest, simhash, tokencoder, urlfilter, viterbi
+from .common import scratch_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +17,18 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(spark, table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"), urlfilter.train(urlfilter.labelled_urls(spark)))
+
+
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rpforest.link(table(spark, sf_dir, "embeddings"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, lines_deleted, and length and digest of the text that is left."""
     kept = linededup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -27,12 +40,28 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.digits().alias("fingerprint"), "component_id")
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return postings.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "tokens")
+    tokencoder.write_tokens(table(spark, sf_dir, "documents"), path)
+    return tokencoder.read_index(spark, path)
+
+
+def op9_subword_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, number and checksum of the ids, digest of the text decoded from them, and whether it is the text."""
+    coded = viterbi.decode(viterbi.encode(table(spark, sf_dir, "documents")))
+    return coded.select("doc_id", "n_ids", "ids_crc32", F.md5("decoded").alias("decoded_md5"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    own = (op1_language_id, op5_line_dedup, op6_simhash_near_dedup, op10_packing)
+    own = (op1_language_id, op2_html_text, op3_url_filter, op4_embedding_near_dedup, op5_line_dedup, op6_simhash_near_dedup, op7_nearest_neighbours, op8_token_output, op9_subword_encoding, op10_packing)
     return {f.__name__: f for f in own}
 
 
