@@ -22,7 +22,7 @@ BUCKETS = 1 << 16
 #: A rule is a host, with all its subdomains, and the start of a path; the longest that fits decides.
 RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "block"), ("example.net/de/8", "block"), ("org/es/", "block"))
 
-# The labelled urls: every word once in a host and once in a path.
+# The labelled urls: every word in hosts and in paths, and wanted urls without any of the words.
 _UNWANTED = "casino poker jackpot betting xxx porn escort viagra pills payday warez crack keygen torrent phishing malware adserver clickbait doubleclick spam lottery hookup replica fakenews".split()
 _WANTED = "news science library museum university garden kitchen travel weather history health research teacher school music city forum wiki recipes football cinema archive journal village".split()
 
@@ -32,7 +32,12 @@ def labelled_urls(spark: SparkSession) -> DataFrame:
     word, label = F.explode(F.array(*[F.struct(F.lit(w).alias("w"), F.lit(float(k)).alias("label")) for k, ws in ((1, _UNWANTED), (0, _WANTED)) for w in ws])), "label"
     base = spark.range(1).select(word.alias("x")).select("x.w", "x.label")
     forms = ["http://www.{}.example.com/en/1024.html", "https://{}.example.net/de/77/", "http://best-{}.example.org/fr/5?page=2", "https://blog.example.com/{}/es/310", "http://example.net/en/{}-2021.html#top", "https://m.{}online.example.org/"]
-    return base.select(F.explode(F.array(*[F.format_string(f.replace("{}", "%s"), "w") for f in forms])).alias("url"), label)
+    words = base.select(F.explode(F.array(*[F.format_string(f.replace("{}", "%s"), "w") for f in forms])).alias("url"), label)
+    parts_ = [F.explode(F.array(*map(F.lit, own))).alias(n) for n, own in (("h", ("www.example.com", "blog.example.net", "m.example.org", "example.com", "example.net", "example.org")), ("l", ("en", "de", "fr", "es")), ("t", ("1024", "7.html", "310/", "88?page=2&ref=x", "9021?utm_source=feed", "46#top")))]
+    plain = spark.range(1)
+    for column in parts_:
+        plain = plain.select("*", column)
+    return words.unionByName(plain.select(F.format_string("https://%s/%s/%s", "h", "l", "t").alias("url"), F.lit(0.0).alias("label")))
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -88,7 +93,7 @@ class UrlModel:
 def train(labelled: DataFrame, url="url", label="label", buckets: int = BUCKETS) -> UrlModel:
     host, path = parts(F.col(url))
     rows = features(labelled.select(host.alias("_h"), path.alias("_q"), F.col(label).cast("double").alias("_y")), "_h", "_q", "_x", buckets)
-    return UrlModel(LogisticRegression(featuresCol="_x", labelCol="_y", regParam=0.01, maxIter=30, standardization=False).fit(rows.coalesce(1)), buckets)
+    return UrlModel(LogisticRegression(featuresCol="_x", labelCol="_y", regParam=0.001, maxIter=50, standardization=False).fit(rows.coalesce(1)), buckets)
 
 
 def judge(pages: DataFrame, model: UrlModel, rules=RULES, url="url", page_id="page_id", threshold: float = 0.5) -> DataFrame:
