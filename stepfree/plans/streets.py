@@ -188,3 +188,37 @@ def gr14_crosswalk_marks(d):
     touch = graph.both_ways(d.edge, "link_type").groupBy(F.col("u").alias("node")).agg(F.count("*").alias("degree"), F.count_if(F.col("link_type") == "crossing").alias("crossings")).where("crossings > 0")
     role = F.when(F.col("crossings") >= 2, "cross").when(F.col("degree") >= 4, "side").otherwise("near")
     return touch.groupBy(role.alias("role")).agg(F.count("*").alias("n"), F.min("node").alias("first_node"))
+
+
+def _routes(d):
+    trips = d.origin.select(F.col("id").alias("trip"), (F.col("id") % 2000).alias("start"), (F.col("id") * 37 % 2000).alias("goal"))
+    return routing.plan(d.edge, trips, WALK)
+
+
+@query()
+def gr12_steps(d):
+    """Turn-by-turn steps of a walk for every origin."""
+    from stepfree.operators import guidance
+
+    out = guidance.steps(guidance.with_bearings(routing.path_links(_routes(d)), d.edge, d.node))
+    return out.select("trip", "idx", "maneuver", "link_type", F.round("distance_m", 3).alias("distance_m"))
+
+
+@query()
+def win06_landmarks(d):
+    """Places to name along every track, not too close to each other."""
+    from pyspark.sql.window import Window
+
+    from stepfree.operators import guidance
+
+    w = Window.partitionBy("route_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    rows = d.track.select("route_id", F.sum(F.col("off_m") * 3).over(w).alias("position_m"), (F.col("seq") % 3).cast("int").alias("tier"), F.col("off_m").alias("offset_m"), F.col("seq").cast("bigint").alias("id"))
+    return guidance.landmarks(rows)
+
+
+@query()
+def gr04_uturn(d):
+    """Routes without needless turning back: links at a turn of 150 degrees or more are penalised and the route retried."""
+    trips = d.origin.select(F.col("id").alias("trip"), (F.col("id") % 2000).alias("start"), (F.col("id") * 37 % 2000).alias("goal"))
+    out = routing.plan(d.edge, trips, "crutch", nodes=d.node)
+    return out.select("trip", F.round("cost", 3).alias("cost"), F.size("path").alias("nodes"))
