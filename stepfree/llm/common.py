@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import tempfile
 import uuid
@@ -46,7 +47,7 @@ def drop_scratch(spark: SparkSession, path: str) -> None:
 class WordCache(dict):
     """Ids of a word as bytes, looked up once; emptied when it holds ``limit`` words, so that memory stays bounded."""
 
-    def __init__(self, encode, limit: int = 600_000):
+    def __init__(self, encode, limit: int = 1_000_000):
         super().__init__()
         self.encode, self.limit = encode, limit
 
@@ -122,6 +123,12 @@ class ByteBpeEncoder:
         return b"".join(out)
 
 
+@functools.cache
+def shared_encoder(kind: type, path: str):
+    """One encoder for all tasks of a worker process, so that its words are looked up once."""
+    return kind(path)
+
+
 class WordBpeEncoder:
     """Ids of a BPE that drops white space, so every word can be encoded apart: equal to encoding the whole text."""
 
@@ -130,6 +137,8 @@ class WordBpeEncoder:
         self.words = WordCache(self._word)
 
     def _word(self, word: str) -> bytes:
+        if word.isascii() and word != (low := word.lower()):
+            return self.words[low]  # the tokenizer lower-cases
         if len(word) > 1 and word[-1] in _TAIL and word[-2].isalnum() and word.isascii():
             return self.words[word[:-1]] + self.words[word[-1]]
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, np.uint16).tobytes()

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ByteBpeEncoder, bounded_batches, tokenizer_path
+from .common import ByteBpeEncoder, bounded_batches, shared_encoder, tokenizer_path
 
 BLOCK, LANES, END = 4096, 1024, 0
 MAGIC = b"TKC1"
@@ -41,17 +41,20 @@ _MANTISSA = np.maximum(np.arange(_BUCKETS) // 2 - 1, 0)
 _BASE = np.where(np.arange(_BUCKETS) >= 2, (2 + np.arange(_BUCKETS) % 2) << _MANTISSA, 1) - 1
 
 
+#: What an id of each size class adds to the cumulative counts.
+_ADD = (_STEP * (np.arange(_BUCKETS + 1) > np.arange(_BUCKETS + 1)[:, None])).astype(np.uint16)
+
+
 class _Model:
     """The tables of all lanes, flat; ``k`` lanes are active, the first ones."""
 
     def __init__(self, lanes: int):
         self.t2, self.t1 = np.zeros(lanes * _H2, np.int32), np.zeros(lanes * _H1, np.int32)
         self.p2, self.p1 = (np.tile(np.array([16, 1024, 2048, 3072], np.int32), lanes) for _ in range(2))
-        self.counts = np.tile(np.arange(_BUCKETS + 1, dtype=np.int64) * 4, (lanes, 1))
+        self.counts = np.tile(np.arange(_BUCKETS + 1, dtype=np.uint16) * np.uint16(4), (lanes, 1))
         lane = np.arange(lanes)
         self.at2, self.at1, self.at = lane * _H2, lane * _H1, lane * 4
         self.ids2, self.ids1 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.classes = np.arange(_BUCKETS + 1)
 
     def predict(self, k: int):
         a, b = self.ids1[:k], self.ids2[:k]
@@ -75,8 +78,10 @@ class _Model:
         self.ids2[:k] = self.ids1[:k]
         self.ids1[:k] = x
 
-    def count(self, rows: np.ndarray, bucket: np.ndarray):
-        self.counts[rows] += _STEP * (self.classes > bucket[:, None])
+    def count(self, k: int, rows: np.ndarray, bucket: np.ndarray):
+        every = np.full(k, _BUCKETS)  # adds nothing
+        every[rows] = bucket
+        self.counts[:k] += _ADD[every]
 
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
@@ -126,16 +131,16 @@ def _encode(blocks: list[np.ndarray]) -> list[np.ndarray]:
             own = x[rows]
             bucket = _BUCKET[own]
             counts = model.counts
-            start = counts[rows, bucket]
+            start = counts[rows, bucket].astype(np.int64)
             r = rng[rows] // counts[rows, _BUCKETS]
             low[rows] += r * start
-            rng[rows] = r * (counts[rows, bucket + 1] - start)
-            shift(rows[rng[rows] < _TOP])
+            rng[rows] = r = r * (counts[rows, bucket + 1] - start)
+            shift(rows[r < _TOP])
             r = rng[rows] >> _MANTISSA[bucket]
             low[rows] += r * (own - _BASE[bucket])
             rng[rows] = r
             shift(rows[r < _TOP])
-            model.count(rows, bucket)
+            model.count(k, rows, bucket)
         model.update(k, x, hit2.astype(np.int32), hit1.astype(np.int32))
     for _ in range(2):
         shift(np.arange(lanes))
@@ -200,15 +205,15 @@ def _decode(inputs: list[np.ndarray], sizes: np.ndarray) -> list[np.ndarray]:
         x = np.where(hit2, model.q2, model.q1)
         rows = np.flatnonzero(~(hit2 | hit1))
         if len(rows):
-            counts = model.counts[rows]
-            r = rng[rows] // counts[:, _BUCKETS]
-            value = np.minimum(code[rows] // r, counts[:, _BUCKETS] - 1)
-            bucket = (counts <= value[:, None]).sum(axis=1) - 1
-            every = np.arange(len(rows))
-            start = counts[every, bucket]
+            counts = model.counts
+            total = counts[rows, _BUCKETS].astype(np.int64)
+            r = rng[rows] // total
+            value = np.minimum(code[rows] // r, total - 1).astype(np.uint16)
+            bucket = np.count_nonzero(counts[rows] <= value[:, None], axis=1) - 1
+            start = counts[rows, bucket].astype(np.int64)
             code[rows] -= r * start
-            rng[rows] = r * (counts[every, bucket + 1] - start)
-            shift(rows[rng[rows] < _TOP])
+            rng[rows] = r = r * (counts[rows, bucket + 1] - start)
+            shift(rows[r < _TOP])
             bits = _MANTISSA[bucket]
             r = rng[rows] >> bits
             own = np.minimum(code[rows] // r, (1 << bits) - 1)
@@ -216,7 +221,7 @@ def _decode(inputs: list[np.ndarray], sizes: np.ndarray) -> list[np.ndarray]:
             rng[rows] = r
             shift(rows[r < _TOP])
             x[rows] = np.minimum(own + _BASE[bucket], 0xFFFF)
-            model.count(rows, bucket)
+            model.count(k, rows, bucket)
         ids[t, :k] = x
         model.update(k, x, hit2.astype(np.int32), hit1.astype(np.int32))
     return [ids[:n, i].astype(np.uint16) for i, n in enumerate(sizes)]
@@ -235,7 +240,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end:
     def run(batches):
         from pyspark import TaskContext
 
-        number, encoder, stop = TaskContext.get().partitionId(), ByteBpeEncoder(tokenizer), np.array([end], np.uint16).tobytes()
+        number, encoder, stop = TaskContext.get().partitionId(), shared_encoder(ByteBpeEncoder, tokenizer), np.array([end], np.uint16).tobytes()
         blocks, done, first, doc_number = [], 0, 0, 0
         ids, members, size = [], [], 0
 
