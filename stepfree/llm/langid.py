@@ -223,8 +223,8 @@ def predict(docs: DataFrame, model: LanguageModel, text="text", doc_id="doc_id")
     return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, model: LanguageModel, text="text", least: float = 0.5) -> DataFrame:
-    """The rows, with all their columns, whose text is in a learned language by a score of ``least`` at least."""
+def keep_identified(docs: DataFrame, model: LanguageModel, text="text", least: float = 0.0) -> DataFrame:
+    """The rows, with all their columns, whose text is in a learned language, by a score of ``least`` at least; others have no letters."""
     bounded_batches(docs.sparkSession)
 
     def run(batches):
