@@ -269,3 +269,65 @@ def tr12_access_points(d):
     s = d.poi.select(F.when(station, "station").otherwise("stop").alias("what"), F.when(station, F.when(F.col("poi_id") % 3 == 0, "yes").otherwise("no")).otherwise("unknown").alias("acc"), F.col("lat").alias("r_lat"), F.col("lng").alias("r_lng"))
     near = spatial.radius_join(d.origin, s, 2000)
     return near.groupBy("id").agg(F.count_if((F.col("what") == "station") & (F.col("acc") == "yes")).alias("stations"), F.count_if(F.col("what") == "stop").alias("stops"), F.round(F.min("dist_m"), 2).alias("nearest_m"))
+
+
+_HALF = "cast(0.00055 as double)"
+_DC = hav("f.lat", "f.lng", "p.lat", "p.lng")
+
+
+@query(f"""SELECT fac_id, poi_id, how FROM (SELECT f.fac_id, p.poi_id, CASE WHEN abs(f.lat - p.lat) < {_HALF} AND abs(f.lng - p.lng) < {_HALF} THEN 'inside' ELSE 'near' END AS how,
+  row_number() OVER (PARTITION BY f.fac_id ORDER BY CASE WHEN abs(f.lat - p.lat) < {_HALF} AND abs(f.lng - p.lng) < {_HALF} THEN 0 ELSE 1 END, round({_DC}, 6), p.poi_id) AS rn FROM facility f JOIN poi p ON {_DC} <= 250) WHERE rn = 1""")
+def jn23_contains_else_nearest(d):
+    """The building that a point lies in, else the nearest within 250 m."""
+    lat, lng, h = F.col("r_lat"), F.col("r_lng"), 0.00055
+    ring = F.array(*[F.struct((lat + a * h).alias("lat"), (lng + b * h).alias("lng")) for a, b in ((-1, -1), (-1, 1), (1, 1), (1, -1))])
+    near = spatial.radius_join(d.facility, d.poi.select("poi_id", F.col("lat").alias("r_lat"), F.col("lng").alias("r_lng")), 250)
+    near = near.withColumns({"out": F.when(geo.in_ring(F.col("lat"), F.col("lng"), ring), 0).otherwise(1), "by": F.round("dist_m", 6)})
+    return spatial.top_k(near, ["fac_id"], ["out", "by", "poi_id"], 1).select("fac_id", "poi_id", F.when(F.col("out") == 0, "inside").otherwise("near").alias("how"))
+
+
+@query("SELECT s.poi_id, string_agg(f.name, ',' ORDER BY i) AS names FROM poi s, range(0, 4) t(i) LEFT JOIN facility f ON f.fac_id = s.poi_id * 3 + i * i WHERE f.name IS NOT NULL GROUP BY s.poi_id")
+def jn24_attributes_by_ids(d):
+    """Attributes of a list of ids, in the list's order."""
+    ids = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.col("poi_id") * 3 + i * i)
+    rows = d.poi.select("poi_id", F.posexplode(ids).alias("at", "fac_id")).join(d.facility.select("fac_id", "name"), "fac_id")
+    out = rows.groupBy("poi_id").agg(F.sort_array(F.collect_list(F.struct("at", "name"))).alias("r"))
+    return out.select("poi_id", F.array_join(F.transform("r", lambda x: x["name"]), ",").alias("names"))
+
+
+@query(f"""WITH l AS (SELECT route_id, seq, lat, lng, lag(lat) OVER w AS plat, lag(lng) OVER w AS plng FROM track WINDOW w AS (PARTITION BY route_id ORDER BY seq)), c AS (SELECT *, coalesce({_LEG}, 0) AS leg, sum(coalesce({_LEG}, 0)) OVER (PARTITION BY route_id ORDER BY seq) AS upto FROM l),
+  t AS (SELECT *, max(upto) OVER (PARTITION BY route_id) / 2 AS half FROM c), m AS (SELECT *, row_number() OVER (PARTITION BY route_id ORDER BY seq) AS rn FROM t WHERE upto >= half AND leg > 0)
+  SELECT route_id, round(plat + (lat - plat) * (half - (upto - leg)) / leg, 6) AS lat, round(plng + (lng - plng) * (half - (upto - leg)) / leg, 6) AS lng FROM m WHERE rn = 1""")
+def geo12_midpoint(d):
+    """The point halfway along each track."""
+    w = Window.partitionBy("route_id").orderBy("seq")
+    rows = d.track.withColumns({"plat": F.lag("lat").over(w), "plng": F.lag("lng").over(w)})
+    rows = rows.withColumn("leg", F.coalesce(geo.haversine(F.col("plat"), F.col("plng"), F.col("lat"), F.col("lng")), F.lit(0.0))).withColumn("upto", F.sum("leg").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("half", F.max("upto").over(Window.partitionBy("route_id")) / 2).where("upto >= half and leg > 0")
+    share = (F.col("half") - (F.col("upto") - F.col("leg"))) / F.col("leg")
+    first = spatial.top_k(rows, ["route_id"], ["seq"], 1)
+    return first.select("route_id", F.round(F.col("plat") + (F.col("lat") - F.col("plat")) * share, 6).alias("lat"), F.round(F.col("plng") + (F.col("lng") - F.col("plng")) * share, 6).alias("lng"))
+
+
+@query(f"""WITH r AS (SELECT route_id, min(seq) AS a, max(seq) AS b FROM route_station GROUP BY route_id), s AS (SELECT q.route_id, q.seq, min(q.stop_id) AS stop_id FROM route_station q JOIN r ON r.route_id = q.route_id AND q.seq BETWEEN r.a AND r.b GROUP BY q.route_id, q.seq),
+  n AS (SELECT *, lead(stop_id) OVER (PARTITION BY route_id ORDER BY seq) AS nxt FROM s) SELECT n.route_id, count(*) AS legs, round(sum({hav('a.lat', 'a.lng', 'b.lat', 'b.lng')}), 1) AS ride_m FROM n JOIN poi a ON a.poi_id = n.stop_id JOIN poi b ON b.poi_id = n.nxt GROUP BY n.route_id""")
+def tr02_ride_path(d):
+    """The way of a ride over its stops, one stop for each place in the order."""
+    stops = d.route_station.groupBy("route_id", "seq").agg(F.min("stop_id").alias("stop_id"))
+    at = lambda n, i: d.poi.select(F.col("poi_id").alias(n), F.col("lat").alias(f"lat{i}"), F.col("lng").alias(f"lng{i}"))
+    legs = stops.withColumn("nxt", F.lead("stop_id").over(Window.partitionBy("route_id").orderBy("seq"))).join(at("stop_id", 1), "stop_id").join(at("nxt", 2), "nxt")
+    return legs.groupBy("route_id").agg(F.count("*").alias("legs"), F.round(F.sum(geo.haversine(F.col("lat1"), F.col("lng1"), F.col("lat2"), F.col("lng2"))), 1).alias("ride_m"))
+
+
+@query("SELECT verdict, count(*) AS tracks, sum(n) AS points FROM (SELECT route_id, count(*) AS n, CASE WHEN avg(off_m) < 10 THEN 'honest' WHEN avg(off_m) <= 20.5 THEN 'fair' ELSE 'off' END AS verdict FROM track GROUP BY route_id) GROUP BY verdict")
+def agg06_track_summary(d):
+    per = d.track.groupBy("route_id").agg(F.count("*").alias("n"), F.avg("off_m").alias("m"))
+    verdict = F.when(F.col("m") < 10, "honest").when(F.col("m") <= 20.5, "fair").otherwise("off")
+    return per.groupBy(verdict.alias("verdict")).agg(F.count("*").alias("tracks"), F.sum("n").alias("points"))
+
+
+@query("SELECT link_type, round(sum(length * slope) / sum(length), 6) AS weighted, round(avg(slope), 6) AS plain, count(*) FILTER (WHERE slope > 4) AS steep, count(*) FILTER (WHERE slope > 4) * 100.0 / count(*) AS steep_pct FROM edge GROUP BY link_type")
+def agg19_quality(d):
+    """A network's quality by type: slopes by length and plain, and the share of steep links."""
+    steep = F.count_if(F.col("slope") > 4)
+    return d.edge.groupBy("link_type").agg(F.round(F.sum(F.col("length") * F.col("slope")) / F.sum("length"), 6).alias("weighted"), F.round(F.avg("slope"), 6).alias("plain"), steep.alias("steep"), (steep * 100.0 / F.count("*")).cast("double").alias("steep_pct"))
