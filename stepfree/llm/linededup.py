@@ -15,8 +15,8 @@ A run of at least ``least`` words that also starts earlier, by (id, line), is de
 So the result is exact for runs (up to a collision of 128-bit hashes) although no two places are ever compared.
 
 Cases: a null text stays null and an empty one empty; an empty table gives an empty one. In a text that repeats itself the
-first period stays. Of equal documents the smallest id keeps the text. Of rows that share an id, lines are counted on in one
-sequence for each row; rows without an id are left as they are. Other columns pass through and may have any names.
+first period stays. Of equal documents the smallest id keeps the text. Rows that share an id are
+told apart by their text, and equal rows keep or lose the same lines; rows without an id are left as they are. Other columns pass through and may have any names.
 """
 
 from __future__ import annotations
@@ -76,12 +76,12 @@ def windows(hashes: list[int], words: list[int], least: int) -> set[tuple[int, i
 
 def window_rows(docs: DataFrame, least: int, text="text", doc_id="doc_id") -> DataFrame:
     bounded_batches(docs.sparkSession)
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("d"), F.col(text).alias("t")).where("d is not null and t is not null")
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("d"), F.col(text).alias("t"), F.xxhash64(text).alias("h")).where("d is not null and t is not null")
 
     def run(batches):
         for b in batches:
-            k1, k2, d, first, last = [], [], [], [], []
-            for doc, t in zip(b["d"].to_pylist(), b["t"].to_pylist(), strict=True):
+            k1, k2, d, h, first, last = [], [], [], [], [], []
+            for doc, t, own in zip(b["d"].to_pylist(), b["t"].to_pylist(), b["h"].to_pylist(), strict=True):
                 at, hashes, words = lines_of(t)
                 packed = np.array(hashes, "<u8").tobytes()
                 for x, y in windows(hashes, words, least):
@@ -89,22 +89,23 @@ def window_rows(docs: DataFrame, least: int, text="text", doc_id="doc_id") -> Da
                     k1.append((key >> 64) - (1 << 63))
                     k2.append((key & ((1 << 64) - 1)) - (1 << 63))
                     d.append(doc)
+                    h.append(own)
                     first.append(at[x])
                     last.append(at[y])
-            yield pa.record_batch([pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(d, pa.int64()), pa.array(first, pa.int32()), pa.array(last, pa.int32())], names=["k1", "k2", "d", "first", "last"])
+            yield pa.record_batch([pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(d, pa.int64()), pa.array(h, pa.int64()), pa.array(first, pa.int32()), pa.array(last, pa.int32())], names=["k1", "k2", "d", "h", "first", "last"])
 
-    return rows.mapInArrow(run, "k1 bigint, k2 bigint, d bigint, first int, last int")
+    return rows.mapInArrow(run, "k1 bigint, k2 bigint, d bigint, h bigint, first int, last int")
 
 
 def later_runs(docs: DataFrame, least: int = LEAST_WORDS, text="text", doc_id="doc_id") -> DataFrame:
-    """d and runs: the line ranges (first, last) of each document that occurred before; documents without any are absent."""
+    """d, h (of the text) and runs: the line ranges (first, last) of each document that occurred before; documents without any are absent."""
     rows = materialize(window_rows(docs, least, text, doc_id), "lines-windows").withColumn("key", F.struct("k1", "k2"))
-    place = F.struct("d", "first", "last")
+    place = F.struct("d", "first", "h", "last")
     seen = rows.groupBy("key").agg(F.min(place).alias("origin"), F.count("*").alias("n")).where("n > 1").select("key", "origin")
-    later = salted_join(rows.select("key", "d", "first", "last"), materialize(seen, "lines-origins"), "key").where((F.col("origin.d") != F.col("d")) | (F.col("origin.first") != F.col("first")))
+    later = salted_join(rows.select("key", "d", "h", "first", "last"), materialize(seen, "lines-origins"), "key").where((F.col("origin.d") != F.col("d")) | (F.col("origin.first") != F.col("first")) | (F.col("origin.h") != F.col("h")))
     # a run may overlap its own earlier copy: what the first copy holds stays
-    begin = F.when((F.col("origin.d") == F.col("d")) & (F.col("origin.last") >= F.col("first")), F.col("origin.last") + 1).otherwise(F.col("first"))
-    return later.select("d", F.struct(begin.alias("first"), F.col("last")).alias("run")).where("run.first <= run.last").groupBy("d").agg(F.array_sort(F.collect_set("run")).alias("runs"))
+    begin = F.when((F.col("origin.d") == F.col("d")) & (F.col("origin.h") == F.col("h")) & (F.col("origin.last") >= F.col("first")), F.col("origin.last") + 1).otherwise(F.col("first"))
+    return later.select("d", "h", F.struct(begin.alias("first"), F.col("last")).alias("run")).where("run.first <= run.last").groupBy("d", "h").agg(F.array_sort(F.collect_set("run")).alias("runs"))
 
 
 def _without(text: str, runs: list[dict]) -> tuple[str, int, int]:
@@ -121,8 +122,8 @@ def remove_repeats(docs: DataFrame, least: int = LEAST_WORDS, text="text", doc_i
 
     With drop_emptied, a document that loses all its lines goes; the text that it repeats is elsewhere.
     """
-    runs = later_runs(docs, least, text, doc_id).withColumnRenamed("d", "_d").withColumnRenamed("runs", "_runs")
-    joined = docs.join(runs, docs[doc_id].cast("bigint") == F.col("_d"), "left").drop("_d")
+    runs = later_runs(docs, least, text, doc_id).select(F.col("d").alias("_d"), F.col("h").alias("_h"), F.col("runs").alias("_runs"))
+    joined = docs.join(runs, (docs[doc_id].cast("bigint") == F.col("_d")) & (F.xxhash64(docs[text]) == F.col("_h")), "left").drop("_d", "_h")
     kinds = [f for f in docs.schema.fields if f.name != "lines_deleted"]
     names = [f.name for f in kinds]
 

@@ -59,3 +59,10 @@ def test_passage_of_fifty_words_goes_and_clean_text_stays(spark):
     assert got == {5: (rows[0][1], 0, "a"), 7: ("", 1, "b"), 6: ("head\ntail", 1, "c"), 8: (None, 0, "d"), 9: ("", 0, "e"), 10: ("short\nshort", 0, None)}
     assert sorted(r["doc_id"] for r in linededup.remove_repeats(df, drop_emptied=True).collect()) == [5, 6, 8, 9, 10]
     assert linededup.remove_repeats(df.limit(0)).count() == 0
+
+
+def test_rows_that_share_an_id(spark):
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(1, f"first\n{passage}"), (2, f"clean\nown words here"), (2, f"other\n{passage}"), (2, f"other\n{passage}")]
+    got = sorted(r["text"] for r in linededup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([rows[0][1], rows[1][1], "other", "other"])
