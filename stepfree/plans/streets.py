@@ -222,3 +222,22 @@ def gr04_uturn(d):
     trips = d.origin.select(F.col("id").alias("trip"), (F.col("id") % 2000).alias("start"), (F.col("id") * 37 % 2000).alias("goal"))
     out = routing.plan(d.edge, trips, "crutch", nodes=d.node)
     return out.select("trip", F.round("cost", 3).alias("cost"), F.size("path").alias("nodes"))
+
+
+_KX = "(111320.0 * cos(radians(o.lat)))"
+_AX, _AY = f"((a.lng - o.lng) * {_KX})", "((a.lat - o.lat) * 110540.0)"
+_DX, _DY = f"((b.lng - a.lng) * {_KX})", "((b.lat - a.lat) * 110540.0)"
+_TT = f"greatest(0.0, least(1.0, -({_AX} * {_DX} + {_AY} * {_DY}) / ({_DX} * {_DX} + {_DY} * {_DY})))"
+
+
+@query(f"""WITH n AS (SELECT * FROM (SELECT o.id, e.u, e.v, e.length, e.slope, {_TT} AS t, row_number() OVER (PARTITION BY o.id ORDER BY round({_PD}, 6), e.u, e.v) AS rn FROM ({_O}) o JOIN edge e ON true JOIN node a ON a.node_id = e.u JOIN node b ON b.node_id = e.v
+  WHERE e.link_type NOT IN ('crossing', 'steps') AND {sql_passable(MANUAL)} AND {_PD} <= 60) WHERE rn = 1), k AS (SELECT * FROM n WHERE t * length >= 1 AND (1 - t) * length >= 1)
+  SELECT id, u AS "end", round(t * length, 4) AS length, length AS orig_length, slope FROM k UNION ALL SELECT id, v, round((1 - t) * length, 4), length, slope FROM k""")
+def gr08_virtual_nodes(d):
+    """The two links that join every origin to the ends of its nearest usable link."""
+    from stepfree.operators import virtual
+
+    links = _segments(d).where(~F.col("link_type").isin("crossing", "steps") & graph.passable(d.edge, MANUAL)).select("u", "v", "lat1", "lng1", "lat2", "lng2", "length", "slope")
+    near = spatial.segment_join(_walkers(d), links.drop("length", "slope"), 60, at_point=True)
+    first = spatial.top_k(near, ["id"], [F.round("dist_m", 6), "u", "v"], 1).select("id", "lat", "lng", "u", "v")
+    return virtual.attach(first, links)[1].select("id", "end", F.round("length", 4).alias("length"), "orig_length", "slope")

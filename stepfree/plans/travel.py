@@ -224,3 +224,36 @@ def stm04_stream_offroute(d):
     from stepfree.streaming import tracks
 
     return tracks.off_route_once(d)
+
+
+_SO = hav("o.lat", "o.lng", "s.lat", "s.lng")
+
+
+@query(f"""WITH n AS (SELECT o.id, s.poi_id, {_SO} AS dist, s.poi_id % 3 = 0 AS low FROM origin o JOIN poi s ON {_SO} <= 1600), f AS (SELECT id, coalesce(bool_or(low AND dist <= 900), false) AS found FROM n GROUP BY id)
+  SELECT n.id, CASE WHEN found THEN 900 ELSE 1600 END AS radius_m, count(*) AS stops, round(min(dist), 2) AS nearest_m FROM n JOIN f ON f.id = n.id WHERE dist <= CASE WHEN found THEN 900 ELSE 1600 END GROUP BY n.id, found""")
+def tr06_radius_expansion(d):
+    """Stops within 900 m, or within 1,600 m where none of the near ones is served by low-floor buses; one join for both."""
+    stops = d.poi.select("poi_id", F.col("lat").alias("r_lat"), F.col("lng").alias("r_lng"))
+    near = spatial.radius_join(d.origin, stops, 1600)
+    found = F.coalesce(F.bool_or((F.col("poi_id") % 3 == 0) & (F.col("dist_m") <= 900)).over(Window.partitionBy("id")), F.lit(False))
+    near = near.withColumn("radius_m", F.when(found, 900).otherwise(1600)).where("dist_m <= radius_m")
+    return near.groupBy("id", "radius_m").agg(F.count("*").alias("stops"), F.round(F.min("dist_m"), 2).alias("nearest_m"))
+
+
+_ST = "SELECT poi_id, poi_id // 4 AS place, kind, lat, lng FROM poi WHERE kind IN ('sports_org', 'sports_fac')"
+_TG = "SELECT id - 1 AS id, lat, lng FROM origin"
+_W1, _W2 = hav("o.lat", "o.lng", "a.lat", "a.lng"), hav("b.lat", "b.lng", "t.lat", "t.lng")
+
+
+@query(f"""WITH s AS ({_ST}), t AS ({_TG}), c AS (SELECT o.id AS trip, a.poi_id AS board, b.poi_id AS alight, ({_W1} + {_W2}) * 1.35 + abs(a.place - b.place) * 180 + 250 AS score FROM origin o JOIN t ON t.id = o.id JOIN s a ON {_W1} <= 3000 JOIN s b ON {_W2} <= 3000 AND b.kind = a.kind AND b.place <> a.place
+  WHERE {_W1} * 1.35 <= 5000 AND {_W2} * 1.35 <= 5000) SELECT trip, board, alight, round(score, 2) AS score FROM (SELECT *, row_number() OVER (PARTITION BY trip ORDER BY round(score, 4), board, alight) AS rn FROM c) WHERE rn = 1""")
+def set03_subway_candidates(d):
+    """The best ride by rail from each origin to the next one's place, over stations of one line within 3 km of either."""
+    line = d.poi.where("kind in ('sports_org', 'sports_fac')").select("poi_id", F.floor(F.col("poi_id") / 4).alias("place"), F.col("kind").alias("line"), F.col("lat").alias("r_lat"), F.col("lng").alias("r_lng"))
+    o = d.origin.select(F.col("id").alias("trip"), "lat", "lng")
+    t = d.origin.select((F.col("id") - 1).alias("trip"), "lat", "lng")
+    a = spatial.radius_join(o, line, 3000, "w1").select("trip", "line", F.col("poi_id").alias("board"), F.col("place").alias("pa"), "w1")
+    b = spatial.radius_join(t, line, 3000, "w2").select("trip", "line", F.col("poi_id").alias("alight"), F.col("place").alias("pb"), "w2")
+    c = a.join(b, ["trip", "line"]).where("pa <> pb and w1 * 1.35 <= 5000 and w2 * 1.35 <= 5000")
+    c = c.withColumn("score", (F.col("w1") + F.col("w2")) * 1.35 + F.abs(F.col("pa") - F.col("pb")) * 180 + 250)
+    return spatial.top_k(c, ["trip"], [F.round("score", 4), "board", "alight"], 1).select("trip", "board", "alight", F.round("score", 2).alias("score"))

@@ -46,9 +46,9 @@ def test_rings_crossings_tiles_and_projection(spark):
 
 def test_names_and_flags(spark):
     r = one(
-        spark, text.match_rank(F.lit("안양역"), F.lit("안양 역")), text.match_rank(F.lit("a"), F.lit("abc")), text.match_rank(F.lit("b"), F.lit("abc")), text.match_rank(F.lit("xabcx"), F.lit("abc")), text.match_rank(F.lit("xabx"), F.lit("ab")), text.match_rank(F.lit(""), F.lit("ab")),
-        text.in_district(F.lit("경기 안양시 1"), F.lit("안양")), text.in_district(F.lit("전남 안양면"), F.lit("안양")), text.yes_no(F.lit(" Yes ")), text.yes_no(F.lit("없음")), text.yes_no(F.lit("?")), text.status(F.lit(None).cast("string")),
-        text.number(F.lit("1.5 m")), text.number(F.lit("wide")), text.incline_degrees(F.lit("100%")), text.ends_in_consonant(F.lit("역")), text.ends_in_consonant(F.lit("대로")), text.client_tag(F.lit("a b/c!")), text.exit_number(F.lit(" 3-1번")), text.station_key(F.lit("안양 역")),
+        spark, text.match_rank(F.lit("가람역"), F.lit("가람 역")), text.match_rank(F.lit("a"), F.lit("abc")), text.match_rank(F.lit("b"), F.lit("abc")), text.match_rank(F.lit("xabcx"), F.lit("abc")), text.match_rank(F.lit("xabx"), F.lit("ab")), text.match_rank(F.lit(""), F.lit("ab")),
+        text.in_district(F.lit("경기 가람시 1"), F.lit("가람")), text.in_district(F.lit("전남 가람면"), F.lit("가람")), text.yes_no(F.lit(" Yes ")), text.yes_no(F.lit("없음")), text.yes_no(F.lit("?")), text.status(F.lit(None).cast("string")),
+        text.number(F.lit("1.5 m")), text.number(F.lit("wide")), text.incline_degrees(F.lit("100%")), text.ends_in_consonant(F.lit("역")), text.ends_in_consonant(F.lit("대로")), text.client_tag(F.lit("a b/c!")), text.exit_number(F.lit(" 3-1번")), text.station_key(F.lit("가람 역")),
         text.split_node_id(F.lit("b"), F.lit("a")),
     )
     assert list(r)[:6] == [0, 1, 2, 3, None, None]
@@ -56,4 +56,4 @@ def test_names_and_flags(spark):
     assert list(r)[12:14] == [1.5, None] and r[14] == pytest.approx(45)
     import hashlib
 
-    assert list(r)[15:] == [True, False, "abc", "3-1", "안양", "S" + hashlib.sha1(b"a|b").hexdigest()[:15]]
+    assert list(r)[15:] == [True, False, "abc", "3-1", "가람", "S" + hashlib.sha1(b"a|b").hexdigest()[:15]]

@@ -89,3 +89,15 @@ def test_overlong_graphs_are_refused(spark, monkeypatch):
     monkeypatch.setattr(routing, "MOST_LINKS", 2)
     with pytest.raises(ValueError):
         plan(spark, diamond(spark), "walk")
+
+
+def test_virtual_links_join_a_place_to_both_ends(spark):
+    from stepfree.operators import virtual
+
+    links = spark.createDataFrame([(1, 2, 37.0, 127.0, 37.0, 127.002, 200.0, 3.0)], "u long, v long, lat1 double, lng1 double, lat2 double, lng2 double, length double, slope double")
+    points = spark.createDataFrame([(10, 37.0001, 127.0005, 1, 2), (11, 37.0, 127.0, 1, 2), (12, 37.0, 127.003, 1, 2)], "id long, lat double, lng double, u long, v long")
+    places, parts = virtual.attach(points, links)
+    assert {r["id"]: r["node"] for r in places.collect()} == {10: None, 11: 1, 12: 2}
+    got = {r["end"]: r for r in parts.collect()}
+    assert got.keys() == {1, 2} and got[1]["length"] == pytest.approx(50) and got[2]["length"] == pytest.approx(150)
+    assert all(r["orig_length"] == 200 and r["slope"] == 3 and r["id"] == 10 for r in got.values())
