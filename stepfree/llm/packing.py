@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordBpeEncoder, bounded_batches, materialize, tokenizer_path
+from .common import WordBpeEncoder, bounded_batches, materialize, shared_encoder, tokenizer_path
 
 SIZE, END = 4096, 2
 DIMENSIONS, GRID_BITS = 4, 8
@@ -73,7 +73,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end: int = END, text="text", doc_
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("t"))
 
     def run(batches):
-        encoder, signs, stop = WordBpeEncoder(tokenizer), directions(), np.array([end], np.uint16).tobytes()
+        encoder, signs, stop = shared_encoder(WordBpeEncoder, tokenizer), directions(), np.array([end], np.uint16).tobytes()
         for b in batches:
             ids = [encoder.encode(t or "") + stop for t in b["t"].to_pylist()]
             sizes = np.array([len(x) // 2 for x in ids], np.int64)
