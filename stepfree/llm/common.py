@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import re
 import tempfile
+import unicodedata
 import uuid
 
 import numpy as np
@@ -75,6 +76,20 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _byte_letters() -> dict[int, str]:
+    """The printable character that stands for each byte in byte-level vocabularies: printable Latin-1 for itself, the others
+    in order from U+0100."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in plain)}
+
+
+_LETTER = _byte_letters()
+
+
+def _spelled(word: str) -> str:
+    return word if word.isascii() else "".join(map(_LETTER.__getitem__, word.encode()))
+
+
 #: After a letter or digit these characters end a word and are a pre-token of their own.
 _TAIL = frozenset(",.;:!?")
 
@@ -92,7 +107,7 @@ class ByteBpeEncoder:
 
     def __init__(self, path: str):
         self.tokenizer = load_tokenizer(path)
-        self.feed = self._ids("\n")
+        self.model, self.feed = self.tokenizer.model, self._ids("\n")
         self.first, self.rest = WordCache(lambda w: self._word("", w)), WordCache(lambda w: self._word(" ", w))
 
     def _ids(self, text: str) -> bytes:
@@ -103,6 +118,8 @@ class ByteBpeEncoder:
             raise _Odd
         if word[-1] in _TAIL and len(word) > 1 and word[-2].isalnum() and word.isascii():
             return (self.rest if before else self.first)[word[:-1]] + self.first[word[-1]]
+        if word.isalpha():  # one pre-token, which the model takes as it is
+            return np.array([t.id for t in self.model.tokenize(("Ġ" if before else "") + _spelled(word))], np.uint16).tobytes()
         return self._ids(before + word)
 
     def encode(self, text: str) -> bytes:
@@ -134,14 +151,18 @@ class WordBpeEncoder:
 
     def __init__(self, path: str):
         self.tokenizer = load_tokenizer(path)
-        self.words = WordCache(self._word)
+        self.model, self.words = self.tokenizer.model, WordCache(self._word)
 
     def _word(self, word: str) -> bytes:
         if word.isascii() and word != (low := word.lower()):
             return self.words[low]  # the tokenizer lower-cases
         if len(word) > 1 and word[-1] in _TAIL and word[-2].isalnum() and word.isascii():
             return self.words[word[:-1]] + self.words[word[-1]]
+        if word.isalpha() and word == word.lower() and unicodedata.is_normalized("NFC", word):  # one pre-token, nothing to clean
+            return np.array([t.id for t in self.model.tokenize(_spelled(word))], np.uint16).tobytes()
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, np.uint16).tobytes()
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
+        if any(map(text.__contains__, "\x1c\x1d\x1e\x1f")):  # Python takes these for white space, the tokenizer does not
+            return b"".join(map(self.words.__getitem__, text.split(" ")))
+        return b"".join(map(self.words.__getitem__, text.split()))

@@ -34,6 +34,19 @@ def directions(n: int = 1 << 16, dimensions: int = DIMENSIONS) -> np.ndarray:
     return np.stack([((h >> np.uint64(40 + i)) & np.uint64(1)).astype(np.float32) * 2 - 1 for i in range(dimensions)], axis=1)
 
 
+def packed_directions(dimensions: int = DIMENSIONS) -> np.ndarray:
+    """The signs of an id as 0 and 1 in 16-bit fields of one integer, so that one sum adds them all."""
+    return ((directions(dimensions=dimensions) > 0).astype(np.int64) << (16 * np.arange(dimensions))).sum(axis=1)
+
+
+def project(ids: bytes, packed: np.ndarray, dimensions: int = DIMENSIONS) -> np.ndarray:
+    """Sum of the ids' signs over the root of their number."""
+    own, total = np.frombuffer(ids, np.uint16), np.zeros(dimensions, np.int64)
+    for i in range(0, len(own), 1 << 15):  # a field holds so many
+        total += (int(packed[own[i : i + (1 << 15)]].sum()) >> (16 * np.arange(dimensions))) & 0xFFFF
+    return (2 * total - len(own)) / np.sqrt(max(1, len(own)))
+
+
 def hilbert(cells: np.ndarray, bits: int = GRID_BITS) -> np.ndarray:
     """Places along the Hilbert curve of grid cells [row, dimension] (Skilling's transpose form, all rows at once)."""
     x = cells.astype(np.int64).T.copy()
@@ -73,13 +86,13 @@ def tokenized(docs: DataFrame, tokenizer: str, end: int = END, text="text", doc_
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("t"))
 
     def run(batches):
-        encoder, signs, stop = shared_encoder(WordBpeEncoder, tokenizer), directions(), np.array([end], np.uint16).tobytes()
+        encoder, signs, stop = shared_encoder(WordBpeEncoder, tokenizer), packed_directions(), np.array([end], np.uint16).tobytes()
         for b in batches:
             ids = [encoder.encode(t or "") + stop for t in b["t"].to_pylist()]
             sizes = np.array([len(x) // 2 for x in ids], np.int64)
-            vectors = np.zeros((len(ids), signs.shape[1]))
+            vectors = np.zeros((len(ids), DIMENSIONS))
             for i, x in enumerate(ids):
-                vectors[i] = signs[np.frombuffer(x, np.uint16)].sum(axis=0) / np.sqrt(len(x) / 2)
+                vectors[i] = project(x, signs)
             yield pa.record_batch([b["doc_id"], pa.array(curve_keys(vectors)), pa.array(sizes), pa.array(ids, pa.binary())], names=["doc_id", "key", "n", "ids"])
 
     return rows.mapInArrow(run, "doc_id bigint, key bigint, n bigint, ids binary")

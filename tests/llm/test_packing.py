@@ -17,6 +17,14 @@ def test_cached_encoders_equal_the_library(documents):
             assert np.frombuffer(own.encode(t), np.uint16).tolist() == library.encode(t, add_special_tokens=False).ids, t
 
 
+def test_projection_sums_signs():
+    rng = np.random.default_rng(3)
+    for n in (1, 7, 70_000):
+        ids = rng.integers(0, 49_408, n).astype(np.uint16)
+        want = packing.directions()[ids].astype(float).sum(axis=0) / np.sqrt(n)
+        assert np.allclose(packing.project(ids.tobytes(), packing.packed_directions()), want)
+
+
 def check(spark, docs, size=4096):
     library = load_tokenizer(tokenizer_path("word_bpe_49k.json"))
     ids = {r["doc_id"]: library.encode(r["text"] or "", add_special_tokens=False).ids + [2] for r in docs.collect()}
