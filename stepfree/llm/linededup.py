@@ -1,36 +1,176 @@
-"""Removes runs of lines that occurred before, found by winnowing over line hashes.
+"""Removes passages that occurred before, word by word and over line breaks, found by winnowing over word hashes.
 
-A run is consecutive lines of one document; blank lines are passed over and white space within a line counts as one space.
-A run of at least ``least`` words that also starts earlier, by (id, line), is deleted; the earliest stays.
+A passage is a run of consecutive words of one document; only words count, not the white space or line breaks between them.
+A passage of at least ``passage`` words that also starts earlier, by (id, word), is deleted to its last word; the earliest stays.
 
-* Winnowing: in every window of two lines the one with the smaller hash is selected (of equal ones the right one), and so is
-  every line that has ``least`` words by itself. What is selected depends on the window alone, so every repeated run of
-  ``least`` words has a selected line at the same place of each of its copies.
-* Join: around each selected line stand the shortest windows of lines that have ``least`` words, one for each number of
-  lines to its left. A repeated run around the line holds one of them whole. Windows are joined by hash to the earliest
-  place that has them.
-* Extension: windows are also extended by one line to either side, as far as a run's end can lie from a selected line. The
-  union of the later windows is the maximal run.
+* Winnowing: in every stretch of exactly ``passage`` words the smallest hash of ``passage // 2`` words is selected. It depends on the
+  stretch alone, so it is at the same place of each copy of the stretch.
+* Only stretches whose selected hash is selected at more than one place are sorted by their own hash; those
+  after the first of a hash are later copies. A maximal passage is the union of its stretches.
 
-So the result is exact for runs (up to a collision of 128-bit hashes) although no two places are ever compared.
+So the result is exact (up to collisions of 64-bit hashes of texts and 95-bit ones of stretches) although no two places are
+ever compared, and what occurs once costs no more than its selected hashes. Equal texts are one from the start.
+
+Where runs of whole lines are to go that hold fewer words than that (``least``), lines are units of their own: in every window of
+two lines the one with the smaller hash is selected, and every line of ``least`` words; the shortest windows round them are joined.
 
 Cases: a null text stays null and an empty one empty; an empty table gives an empty one. In a text that repeats itself the
-first period stays. Of equal documents the smallest id keeps the text. Rows that share an id are
-told apart by their text, and equal rows keep or lose the same lines; rows without an id are left as they are. Other columns pass through and may have any names.
+first period stays. Of equal documents the smallest id keeps the text. Of a line that holds more than the passage the rest stays; a line
+left without words goes. Rows that share an id are told apart by their text, and equal rows keep or lose the same words; rows without
+an id are left as they are. Other columns pass through and may have any names.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize
+from .common import WordCache, bounded_batches, materialize
 from .components import salted_join
 
-LEAST_WORDS = 50
+LEAST_WORDS = PASSAGE_WORDS = 50
+_SLOTS = 1 << 22
+_MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+_words = WordCache(lambda w: xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")))
+
+
+def word_hashes(text: str) -> np.ndarray:
+    parts = text.split()
+    return np.fromiter(map(_words.__getitem__, parts), np.uint64, len(parts))
+
+
+def stretch_hashes(w: np.ndarray, n: int, mix: np.uint64 = _MIX[0]) -> np.ndarray:
+    """Hashes of all stretches of n words, put together from shorter ones."""
+
+    def both(a, b):
+        h = (a ^ (a >> np.uint64(31))) * mix + (b ^ (b >> np.uint64(29)))
+        h = (h ^ (h >> np.uint64(32))) * _MIX[1]
+        return h ^ (h >> np.uint64(29))
+
+    if len(w) < n:
+        return np.zeros(0, np.uint64)
+    h, size = both(w, w), 1
+    while size < n:
+        step = min(size, n - size)
+        h, size = both(h[:-step], h[step:]), size + step
+    return h
+
+
+def selected_words(w: np.ndarray, passage: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of every stretch of ``passage`` words the place of the smallest hash of ``passage // 2`` words in it; and all these hashes."""
+    size = max(1, passage // 2)
+    if len(w) < passage:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    h, window = stretch_hashes(w, size), passage - size + 1
+    return np.lib.stride_tricks.sliding_window_view(h, window).argmin(axis=1) + np.arange(len(h) - window + 1), h
+
+
+def _texts(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    return docs.select(F.col(doc_id).cast("bigint").alias("d"), F.xxhash64(text).alias("h"), F.col(text).alias("t")).where("d is not null and t is not null")
+
+
+def _first_of_runs(keys: list[np.ndarray], place: list[np.ndarray], held):
+    """For rows sorted by keys and place: the place of the first row of each row's run, and whether it is another; held is the last batch's end."""
+    n = len(keys[0])
+    new = np.ones(n, bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    joins = held is not None and all(k[0] == v for k, v in zip(keys, held[0], strict=True))
+    run = np.cumsum(new) - 1
+    first = [x[np.flatnonzero(new)] for x in place]
+    if joins:
+        for x, v in zip(first, held[1], strict=True):
+            x[0] = v
+    first = [x[run] for x in first]
+    return first, np.logical_or.reduce([x != y for x, y in zip(place, first, strict=True)]), ([k[-1] for k in keys], [x[-1] for x in first])
+
+
+def _often(batches):
+    """Of rows sorted by key those whose key is at more than one place."""
+    held = None
+    for b in batches:
+        if b.num_rows:
+            key, h, at, d = (b[c].to_numpy() for c in ("key", "h", "at", "d"))
+            (h0, at0, d0), other, held = _first_of_runs([key], [h, at, d], held)
+            other &= (h != h0) | (at != at0)
+            # the first place goes out with each other one; equal rows are one later
+            yield pa.record_batch({c: pa.array(np.concatenate([x[other], y[other]])) for c, x, y in (("h", h, h0), ("at", at, at0), ("d", d, d0))})
+
+
+def _later(passage: int):
+    """Of stretches sorted by key and place those that are not the first, as first << 32 | last word to delete."""
+
+    def run(batches):
+        held = None
+        for b in batches:
+            if b.num_rows:
+                k1, p, d, h = (b[c].to_numpy() for c in ("k1", "p", "d", "h"))
+                at = p & 0xFFFFFFFF
+                (d0, at0, h0), other, held = _first_of_runs([k1, p >> 32], [d, at, h], held)
+                # a passage may overlap its own earlier copy: what the first copy holds stays
+                begin = np.where((d == d0) & (h == h0), np.maximum(at, at0 + passage), at)
+                last = at + passage - 1
+                other &= begin <= last
+                yield pa.record_batch({"d": pa.array(d[other]), "h": pa.array(h[other]), "run": pa.array((begin << 32 | last)[other])})
+
+    return run
+
+
+def later_passages(docs: DataFrame, passage: int = PASSAGE_WORDS, text="text", doc_id="doc_id") -> DataFrame:
+    """d, h (of the text) and passages: the word ranges (first << 32 | last) of each document that occurred before; documents without any are absent."""
+    bounded_batches(docs.sparkSession)
+    rows = _texts(docs, text, doc_id)
+
+    def select(batches):
+        for b in batches:
+            key, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            for t in b["t"].to_pylist():
+                own, hashes = selected_words(word_hashes(t), passage)
+                at.append(np.unique(own))
+                key.append(hashes[at[-1]])
+            n = np.array([len(x) for x in at[1:]], np.int64)
+            d, h = (np.repeat(b[c].to_numpy(), n) for c in ("d", "h"))
+            yield pa.record_batch({"key": pa.array(np.concatenate(key).view(np.int64)), "d": pa.array(d), "h": pa.array(h), "at": pa.array(np.concatenate(at))})
+
+    chosen = rows.mapInArrow(select, "key bigint, d bigint, h bigint, at bigint").repartition("key").sortWithinPartitions("key", "h", "at", "d")
+    marks = chosen.mapInArrow(_often, "h bigint, at bigint, d bigint").groupBy("h").agg(F.min("d").alias("d"), F.collect_set("at").alias("at"))
+    # the smallest id that has a text stands for all that have it
+    texts = rows.groupBy("h").agg(F.min("d").alias("d0"), F.max("d").alias("d1")).where("d0 < d1").select("h", "d0")
+    texts = materialize(texts, "passages-copies")
+    marks = materialize(marks.join(texts, "h", "left").select(F.coalesce("d0", "d").alias("d"), "h", "at"), "passages-marks")
+
+    # a bitmap of bounded size keeps most texts without marks out of the join
+    some = np.zeros(_SLOTS, bool)
+    some[marks.select(F.pmod("h", F.lit(_SLOTS)).cast("int").alias("s")).distinct().toArrow()["s"].to_numpy()] = True
+
+    def likely(batches):
+        for b in batches:
+            yield b.filter(pa.array(some[b["h"].to_numpy() % _SLOTS]))
+
+    def stretch(batches):
+        for b in batches:
+            k1, p, n = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], []
+            for t, own in zip(b["t"].to_pylist(), b["at"], strict=True):
+                w = word_hashes(t)
+                begin = np.flatnonzero(np.isin(selected_words(w, passage)[0], own.values.to_numpy()))
+                n.append(len(begin))
+                if len(begin):
+                    k1.append(stretch_hashes(w, passage, _MIX[0])[begin])
+                    p.append(stretch_hashes(w, passage, _MIX[1])[begin] >> np.uint64(33) << np.uint64(32) | begin.astype(np.uint64))
+            k1, p = np.concatenate(k1), np.concatenate(p)
+            d, h = (np.repeat(b[c].to_numpy(), np.array(n, np.int64)) for c in ("d", "h"))
+            yield pa.record_batch({"k1": pa.array(k1.view(np.int64)), "p": pa.array(p.view(np.int64)), "d": pa.array(d), "h": pa.array(h)})
+
+    # p: 31 more bits of the hash, and the word
+    stretches = rows.mapInArrow(likely, "d bigint, h bigint, t string").join(marks, ["d", "h"]).select("d", "h", "t", "at").mapInArrow(stretch, "k1 bigint, p bigint, d bigint, h bigint")
+    later = stretches.repartition("k1").sortWithinPartitions("k1", F.shiftright("p", 32), "d", "p", "h").mapInArrow(_later(passage), "d bigint, h bigint, run bigint")
+    found = later.groupBy("d", "h").agg(F.collect_set("run").alias("passages"))
+    every = F.array(F.lit((1 << 31) - 1).cast("bigint"))
+    return found.union(salted_join(rows.select("d", "h"), texts, "h").where("d > d0").select("d", "h").distinct().withColumn("passages", every))
 
 
 def lines_of(text: str) -> tuple[list[int], list[int], list[int]]:
@@ -108,21 +248,50 @@ def later_runs(docs: DataFrame, least: int = LEAST_WORDS, text="text", doc_id="d
     return later.select("d", "h", F.struct(begin.alias("first"), F.col("last")).alias("run")).where("run.first <= run.last").groupBy("d", "h").agg(F.array_sort(F.collect_set("run")).alias("runs"))
 
 
-def _without(text: str, runs: list[dict]) -> tuple[str, int, int]:
+def _without(text: str, passages: list[int], runs: list[dict], least: int) -> tuple[str, int, int]:
+    """The text without word ranges and line ranges, how many lines lost words or went, and how many with words are left.
+
+    A range that is the whole text counts only for texts of ``least`` words.
+    """
     lines = text.split("\n")
-    gone = np.zeros(len(lines), bool)
+    gone, changed = np.zeros(len(lines), bool), np.zeros(len(lines), bool)
     for r in runs:
         gone[r["first"] : r["last"] + 1] = True
-    kept = [x for x, g in zip(lines, gone, strict=False) if not g]
-    return "\n".join(kept), int(gone.sum()), sum(bool(x.strip()) for x in kept)
+    spans = [[m.span() for m in re.finditer(r"\S+", x)] for x in lines]
+    total = sum(map(len, spans))
+    word, gap = np.zeros(total, bool), np.zeros(total + 1, bool)  # gap[i]: between words i - 1 and i
+    for r in passages if total >= least else ():
+        first, last = r >> 32, r & 0xFFFFFFFF
+        word[first : last + 1] = True
+        gap[first + 1 : last + 1] = True
+    gap[-1] = False
+    kept, at = [], 0
+    for i, (line, own) in enumerate(zip(lines, spans, strict=True)):
+        lost = word[at : at + len(own)]
+        at += len(own)
+        if gone[i] or not own and gap[at] or own and lost.all():
+            gone[i] = True
+            continue
+        if lost.any():
+            changed[i] = True
+            ends = [*(a for a, _ in own[1:]), len(line)]
+            line = (line[: own[0][0]] + "".join(line[a:b] for (a, _), b, x in zip(own, ends, lost, strict=True) if not x)).rstrip()
+        kept.append(line)
+    return "\n".join(kept), int((gone | changed).sum()), sum(bool(x.strip()) for x in kept)
 
 
-def remove_repeats(docs: DataFrame, least: int = LEAST_WORDS, text="text", doc_id="doc_id", drop_emptied: bool = False) -> DataFrame:
-    """All columns of docs, the text without later repeated runs, and ``lines_deleted``.
+def remove_repeats(docs: DataFrame, least: int = LEAST_WORDS, text="text", doc_id="doc_id", drop_emptied: bool = False, passage: int = PASSAGE_WORDS) -> DataFrame:
+    """All columns of docs, the text without later repeated passages, and ``lines_deleted``: how many lines went or lost words.
 
+    Runs of whole lines go from ``least`` words on, passages that begin or end anywhere from ``passage`` words on.
     With drop_emptied, a document that loses all its lines goes; the text that it repeats is elsewhere.
     """
-    runs = later_runs(docs, least, text, doc_id).select(F.col("d").alias("_d"), F.col("h").alias("_h"), F.col("runs").alias("_runs"))
+    found = later_passages(docs, passage, text, doc_id)
+    if least < passage:  # else such runs are passages
+        found = found.join(later_runs(docs, least, text, doc_id), ["d", "h"], "full")
+    else:
+        found = found.withColumn("runs", F.lit(None).cast("array<struct<first:int,last:int>>"))
+    runs = found.select(F.col("d").alias("_d"), F.col("h").alias("_h"), F.struct("passages", "runs").alias("_runs"))
     joined = docs.join(runs, (docs[doc_id].cast("bigint") == F.col("_d")) & (F.xxhash64(docs[text]) == F.col("_h")), "left").drop("_d", "_h")
     kinds = [f for f in docs.schema.fields if f.name != "lines_deleted"]
     names = [f.name for f in kinds]
@@ -131,7 +300,7 @@ def remove_repeats(docs: DataFrame, least: int = LEAST_WORDS, text="text", doc_i
         for b in batches:
             texts, deleted, stay = [], [], []
             for t, own in zip(b[text].to_pylist(), b["_runs"].to_pylist(), strict=True):
-                new, gone, left = (t, 0, 1) if not own or t is None else _without(t, own)
+                new, gone, left = (t, 0, 1) if not own or t is None else _without(t, own["passages"] or [], own["runs"] or [], passage)
                 texts.append(new)
                 deleted.append(gone)
                 stay.append(not drop_emptied or left > 0)

@@ -66,3 +66,39 @@ def test_rows_that_share_an_id(spark):
     rows = [(1, f"first\n{passage}"), (2, f"clean\nown words here"), (2, f"other\n{passage}"), (2, f"other\n{passage}")]
     got = sorted(r["text"] for r in linededup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == sorted([rows[0][1], rows[1][1], "other", "other"])
+
+
+def plain_passages(docs, least):
+    """Words that stay, by looking every stretch of ``least`` words up in a table of first places."""
+    seqs, first, gone = {d: t.split() for d, t in docs}, {}, {d: set() for d, _ in docs}
+    for d in sorted(seqs):
+        for a in range(len(seqs[d]) - least + 1):
+            d0, a0 = first.setdefault(tuple(seqs[d][a : a + least]), (d, a))
+            gone[d].update(range(max(a, a0 + least) if d0 == d else a, a + least) if (d0, a0) != (d, a) else ())
+    return {d: [w for i, w in enumerate(s) if i not in gone[d]] for d, s in seqs.items()}
+
+
+def test_passages_within_lines_equal_brute_force(spark):
+    rng = random.Random(6)
+    new = lambda n: [f"u{rng.randrange(10**6)}" for _ in range(n)]
+    pool, docs = [new(rng.choice([49, 50, 51, 70, 120])) for _ in range(8)], []
+    for d in range(40):
+        words = new(rng.randrange(30))
+        for _ in range(rng.randrange(4)):
+            p = rng.choice(pool)
+            a = rng.choice([0, 0, rng.randrange(20)])
+            words += p[a:] + new(rng.randrange(30))
+        docs.append((d, "".join(w + rng.choice([" "] * 30 + ["\n", "  ", "\n\n"]) for w in words)))
+    docs += [(50, docs[7][1]), (51, docs[7][1] + "tail"), (52, "a b c " * 40), (53, "few words"), (54, "few words")]
+    got = {r["doc_id"]: r for r in linededup.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    want = plain_passages(docs, 50)
+    assert {d: r["text"].split() for d, r in got.items()} == want
+    assert all((r["lines_deleted"] > 0) == (len(want[d]) < len(t.split())) and (r["lines_deleted"] or r["text"] == t) for d, t in docs for r in [got[d]])
+
+
+def test_rest_of_a_line_stays_as_it_was(spark):
+    passage = " ".join(f"p{i}" for i in range(62))
+    rows = [(1, f"own words {passage}, and on"), (2, f"  Head  of it. {passage} tail\tstays\n\nnext"), (3, f"x\n{passage[:150]}\n\n{passage[151:]}\ny")]
+    got = {r["doc_id"]: (r["text"], r["lines_deleted"]) for r in linededup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == (rows[0][1], 0)
+    assert got[2][0] == "  Head  of it. p61 tail\tstays\n\nnext" and got[2][1] == 1
