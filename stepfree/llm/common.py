@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import functools
 import re
+import string
 import tempfile
 import unicodedata
 import uuid
+from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -46,15 +50,18 @@ def drop_scratch(spark: SparkSession, path: str) -> None:
 
 
 class WordCache(dict):
-    """Ids of a word as bytes, looked up once; emptied when it holds ``limit`` words, so that memory stays bounded."""
+    """What a word is turned into, looked up once. Memory stays bounded: beyond ``limit`` words only the first ``kept`` ones,
+    which are likely to be common, and the last ``kept`` ones stay."""
 
     def __init__(self, encode, limit: int = 1_000_000):
         super().__init__()
-        self.encode, self.limit = encode, limit
+        self.encode, self.limit, self.kept = encode, limit, limit // 3
 
     def __missing__(self, word):
         if len(self) >= self.limit:
+            items = list(self.items())
             self.clear()
+            self.update(items[: self.kept] + items[len(items) - self.kept :])
         value = self[word] = self.encode(word)
         return value
 
@@ -90,54 +97,86 @@ def _spelled(word: str) -> str:
     return word if word.isascii() else "".join(map(_LETTER.__getitem__, word.encode()))
 
 
-#: After a letter or digit these characters end a word and are a pre-token of their own.
-_TAIL = frozenset(",.;:!?")
-
-
-class _Odd(Exception):
-    """The text has white space beside a space or line feed, where words depend on what surrounds them."""
+#: After letters a run of these characters is a pre-token of its own.
+_TAIL = string.punctuation.replace("'", "")
 
 
 class ByteBpeEncoder:
     """Ids of a byte-level BPE whose pre-tokens take one leading space: equal to encoding the whole text at once.
 
     Between two characters that are no white space, a single space starts a pre-token and a single line feed is one, so
-    words can be encoded apart and kept in a cache. Other texts are cut only where that holds.
+    words can be encoded apart: each distinct word of a column once, and not again while it is among the ``limit`` words
+    that are kept. Texts with other white space are cut only where that holds.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, limit: int = 900_000):
         self.tokenizer = load_tokenizer(path)
-        self.model, self.feed = self.tokenizer.model, self._ids("\n")
-        self.first, self.rest = WordCache(lambda w: self._word("", w)), WordCache(lambda w: self._word(" ", w))
+        self.tokenize = self.tokenizer.model.tokenize
+        self.feed = self._ids("\n")
+        self.tails = WordCache(self._ids, limit // 8)
+        self.words = WordCache(self._word, limit)  # a word follows a space, or begins with the line feed before it
 
     def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint16).tobytes()
-
-    def _word(self, before: str, word: str) -> bytes:
-        if not word or word[0].isspace() or word[-1].isspace():
-            raise _Odd
-        if word[-1] in _TAIL and len(word) > 1 and word[-2].isalnum() and word.isascii():
-            return (self.rest if before else self.first)[word[:-1]] + self.first[word[-1]]
-        if word.isalpha():  # one pre-token, which the model takes as it is
-            return np.array([t.id for t in self.model.tokenize(("Ġ" if before else "") + _spelled(word))], np.uint16).tobytes()
-        return self._ids(before + word)
+        return array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _word(self, word: str) -> bytes | None:
+        """None for words that can't be encoded apart: empty ones, and those that white space begins or ends."""
+        own, before = (word[1:], self.feed) if word[:1] == "\n" else (word, b"")
+        letters = own.rstrip(_TAIL)
+        if letters.isalpha():  # one pre-token, which the model takes as it is, and what follows is another
+            if len(letters) < len(word) and not before:
+                return self.words[letters] + self.tails[own[len(letters) :]]
+            ids = array("H", [t.id for t in self.tokenize(("" if before else "Ġ") + (letters if letters.isascii() else _spelled(letters)))]).tobytes()
+            return before + ids + (self.tails[own[len(letters) :]] if len(letters) < len(own) else b"")
+        if not own or own[0].isspace() or own[-1].isspace():
+            return None
+        return before + self._ids(own) if before else self._ids(" " + own)
+
+    def _odd(self, text: str) -> bytes:
+        parts = re.split(r"(?<=\S) (?=\S)", text)
+        return b"".join(self._ids((" " if i else "") + x) for i, x in enumerate(parts))
+
+    def encode_column(self, texts: pa.Array) -> list[bytes]:
+        """Little-endian unsigned 16-bit ids of each text; null is empty."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        feed, none = pa.scalar("\n", texts.type), pa.scalar("", texts.type)
+        words = pc.split_pattern(pc.binary_join_element_wise(feed, pc.replace_substring(texts, "\n", " \n"), none), " ")
+        coded = words.flatten().dictionary_encode()
+        index, docs = coded.indices.to_numpy(), np.append(0, np.cumsum(pc.list_value_length(words).to_numpy()))
+        ids = list(map(self.words.__getitem__, coded.dictionary.to_numpy(zero_copy_only=False)))
+        del words, coded
+        apart = np.fromiter((x is not None for x in ids), bool, len(ids))
+        ids = [x or b"" for x in ids]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
+        starts = np.cumsum(sizes) - sizes
+        bad = np.append(0, np.cumsum(~apart[index]))[docs]
+        sizes = sizes[index]
+        ends = np.append(0, np.cumsum(sizes))
+        at = np.repeat((starts[index] - ends[:-1]).astype(np.int32), sizes)
+        at += np.arange(ends[-1], dtype=np.int32)
+        out = np.frombuffer(b"".join(ids), np.uint16)[at]
+        cuts = ends[docs].tolist()
+        got = [out[a + 1 : z].tobytes() for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
+        for i in np.flatnonzero(bad[1:] > bad[:-1]).tolist():
+            got[i] = self._odd(texts[i].as_py()) if texts[i].as_py() else b""
+        return got
 
     def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 16-bit ids."""
-        if not text:
-            return b""
-        out, get, feed = [], self.rest.__getitem__, self.feed
-        try:
-            for line in text.split("\n"):
-                words = line.split(" ")
-                out.append(self.first[words[0]])
-                out.extend(map(get, words[1:]))
-                out.append(feed)
-        except _Odd:
-            parts = re.split(r"(?<=\S) (?=\S)", text)
-            return b"".join(self._ids((" " if i else "") + x) if re.search(r"\s", x) else (self.rest if i else self.first)[x] for i, x in enumerate(parts))
-        out.pop()
-        return b"".join(out)
+        return self.encode_column(pa.array([text]))[0]
+
+
+def chunks(batches, column: str, size: int = 1 << 24):
+    """Joins batches until the column holds ``size`` bytes, so that what repeats in it is met often but memory is bounded."""
+    held, n = [], 0
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            n += b[column].nbytes
+        if n >= size:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.concat_batches(held)
 
 
 @functools.cache
@@ -156,8 +195,8 @@ class WordBpeEncoder:
     def _word(self, word: str) -> bytes:
         if word.isascii() and word != (low := word.lower()):
             return self.words[low]  # the tokenizer lower-cases
-        if len(word) > 1 and word[-1] in _TAIL and word[-2].isalnum() and word.isascii():
-            return self.words[word[:-1]] + self.words[word[-1]]
+        if len(own := word.rstrip(_TAIL)) < len(word) and own.isalpha():
+            return self.words[own] + self.words[word[len(own) :]]
         if word.isalpha() and word == word.lower() and unicodedata.is_normalized("NFC", word):  # one pre-token, nothing to clean
             return np.array([t.id for t in self.model.tokenize(_spelled(word))], np.uint16).tobytes()
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, np.uint16).tobytes()

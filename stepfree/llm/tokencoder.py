@@ -1,238 +1,64 @@
 """Token ids as compressed binary blocks: an adaptive range coder whose model mixes order-0, order-1 and order-2 predictions.
 
 A block holds up to ``BLOCK`` ids, begins with an empty model and carries a checksum, so it can be read alone. For each id
-the last two ids (order 2) and the last one (order 1) each predict the id that followed them before, with a confidence.
-Chances that adapt by confidence mix the two predictions with the rest; what neither predicted is coded by order 0: an
-adaptive count of the id's size class, then the bits within it. Many blocks advance together, one id at a time, as numpy
-vectors.
+order 2 and order 1 predict the ids that followed the last two ids and the last one, order 0 every id by how often it came;
+weights that adapt within the block mix their chances, and the mixed chance drives the arithmetic coder (see
+``TokenBlocks.java``). It runs inside the JVM, as SQL functions, as each id needs the model that the one before it left.
 
 Files are Parquet tables of blocks, so that writing them is atomic and survives lost executors. A row has the file's number
-and the block's, the coded block, and for each document in it: id, number in the file, piece, and number of ids.
+and the block's, the coded block, and for each document in it: id, number in the file, piece, place in the file and number of ids.
 
 Cases: a null or empty text is the end id alone. Rows that share an id stay apart, in any order; null ids come first. An
-empty table gives an empty one. A text of more ids than a block takes several blocks of its own. Damage raises ValueError.
+empty table gives an empty one. A text of more ids than a block takes several blocks of its own. Damage is an error: ValueError
+from ``decode_blocks``, a failed job from a query. Columns besides id and text are not read and may have any names.
 """
 
 from __future__ import annotations
 
-import struct
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ByteBpeEncoder, bounded_batches, shared_encoder, tokenizer_path
-
-BLOCK, LANES, END = 4096, 1024, 0
-MAGIC = b"TKC1"
-_HEAD = struct.Struct("<4sIII")
-_H2, _H1, _ONE = 1 << 12, 1 << 11, 1 << 12
-_STEP = 7  # a class's count grows by this; a block's counts stay below 2**15
-_BUCKETS = 34
-_TOP = 1 << 16
-
-_v = np.arange(1, (1 << 16) + 1)
-_nb = np.floor(np.log2(_v) + 1e-12).astype(np.int64)
-#: Size class of an id: the number of bits of id + 1 and the bit after the first.
-_BUCKET = np.where(_nb > 0, 2 * _nb + ((_v >> np.maximum(_nb - 1, 0)) & 1), 0)
-_MANTISSA = np.maximum(np.arange(_BUCKETS) // 2 - 1, 0)
-_BASE = np.where(np.arange(_BUCKETS) >= 2, (2 + np.arange(_BUCKETS) % 2) << _MANTISSA, 1) - 1
-
-
-#: What an id of each size class adds to the cumulative counts.
-_ADD = (_STEP * (np.arange(_BUCKETS + 1) > np.arange(_BUCKETS + 1)[:, None])).astype(np.uint16)
-
-
-class _Model:
-    """The tables of all lanes, flat; ``k`` lanes are active, the first ones."""
+from . import jvm
+from .common import ByteBpeEncoder, bounded_batches, chunks, shared_encoder, tokenizer_path
 
-    def __init__(self, lanes: int):
-        self.t2, self.t1 = np.zeros(lanes * _H2, np.int32), np.zeros(lanes * _H1, np.int32)
-        self.p2, self.p1 = (np.tile(np.array([16, 1024, 2048, 3072], np.int32), lanes) for _ in range(2))
-        self.counts = np.tile(np.arange(_BUCKETS + 1, dtype=np.uint16) * np.uint16(4), (lanes, 1))
-        lane = np.arange(lanes)
-        self.at2, self.at1, self.at = lane * _H2, lane * _H1, lane * 4
-        self.ids2, self.ids1 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-
-    def predict(self, k: int):
-        a, b = self.ids1[:k], self.ids2[:k]
-        self.i2 = self.at2[:k] + (((a * 40503 + b * 30103) >> 3) & (_H2 - 1))
-        self.i1 = self.at1[:k] + ((a * 40503 >> 4) & (_H1 - 1))
-        e2, e1 = self.t2[self.i2], self.t1[self.i1]
-        self.q2, self.c2, self.q1, self.c1 = e2 & 0xFFFF, e2 >> 16, e1 & 0xFFFF, e1 >> 16
-        self.j2, self.j1 = self.at[:k] + self.c2, self.at[:k] + self.c1
-        self.f2 = self.p2[self.j2]
-        self.g1 = self.p1[self.j1]
-        self.f1 = np.maximum(((_ONE - self.f2) * self.g1) >> 12, 1)
-
-    def update(self, k: int, x: np.ndarray, hit2: np.ndarray, hit1: np.ndarray):
-        self.p2[self.j2] = np.maximum(self.f2 + (((hit2 << 12) - self.f2) >> 4), 16)
-        # the order-1 chance learns only where order 2 failed
-        self.p1[self.j1] = np.where(hit2, self.g1, np.maximum(self.g1 + (((hit1 << 12) - self.g1) >> 4), 16))
-        for table, at, q, c in ((self.t2, self.i2, self.q2, self.c2), (self.t1, self.i1, self.q1, self.c1)):
-            same = (q == x) & (c > 0)
-            weak = c <= 1
-            table[at] = np.where(same, q, np.where(weak, x, q)) | (np.where(same, np.minimum(c + 1, 3), np.where(weak, 1, c - 1)) << 16)
-        self.ids2[:k] = self.ids1[:k]
-        self.ids1[:k] = x
-
-    def count(self, k: int, rows: np.ndarray, bucket: np.ndarray):
-        every = np.full(k, _BUCKETS)  # adds nothing
-        every[rows] = bucket
-        self.counts[:k] += _ADD[every]
+BLOCK, END = 1 << 16, 0
+#: Blocks that one batch brings to the coder: 2 MB of ids.
+_TOGETHER = 16
 
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
-    """Codes arrays of unsigned 16-bit ids, each of at most BLOCK, independently of each other."""
-    order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
-    out: list[bytes] = [b""] * len(blocks)
-    for at in range(0, len(order), LANES):
-        own = order[at : at + LANES]
-        for i, digits in zip(own, _encode([blocks[i] for i in own]), strict=True):
-            raw = blocks[i]
-            out[i] = _HEAD.pack(MAGIC, len(raw), len(digits), zlib.crc32(raw.astype("<u4"))) + digits.astype("<u2").tobytes()
-    return out
-
-
-def _encode(blocks: list[np.ndarray]) -> list[np.ndarray]:
-    lanes, sizes = len(blocks), np.array([len(b) for b in blocks])
-    most = int(sizes.max(initial=0))
-    ids = np.zeros((most, lanes), np.int32)
-    for i, b in enumerate(blocks):
-        ids[: len(b), i] = b
-    active = np.searchsorted(-sizes, -np.arange(most), side="left")
-    model = _Model(lanes)
-    low, rng = np.zeros(lanes, np.int64), np.full(lanes, (1 << 32) - 1, np.int64)
-    digits, used = np.zeros((lanes, 3 * most + 4), np.int32), np.zeros(lanes, np.int64)
-
-    def shift(rows):
-        """Moves 16 bits out where the range has become small; a carry shows as a 17th bit."""
-        digits[rows, used[rows]] = low[rows] >> 16
-        used[rows] += 1
-        low[rows] = (low[rows] & 0xFFFF) << 16
-        rng[rows] <<= 16
-
-    for t in range(most):
-        k = int(active[t])
-        x = ids[t, :k]
-        model.predict(k)
-        f2, f1 = model.f2, model.f1
-        hit2 = (model.q2 == x) & (model.c2 > 0)
-        hit1 = (model.q1 == x) & (model.c1 > 0) & ~hit2
-        miss = ~(hit2 | hit1)
-        r = rng[:k] >> 12
-        low[:k] += r * np.where(hit2, 0, np.where(hit1, f2, f2 + f1))
-        rng[:k] = r * np.where(hit2, f2, np.where(hit1, f1, _ONE - f2 - f1))
-        shift(np.flatnonzero(rng[:k] < _TOP))
-        rows = np.flatnonzero(miss)
-        if len(rows):
-            own = x[rows]
-            bucket = _BUCKET[own]
-            counts = model.counts
-            start = counts[rows, bucket].astype(np.int64)
-            r = rng[rows] // counts[rows, _BUCKETS]
-            low[rows] += r * start
-            rng[rows] = r = r * (counts[rows, bucket + 1] - start)
-            shift(rows[r < _TOP])
-            r = rng[rows] >> _MANTISSA[bucket]
-            low[rows] += r * (own - _BASE[bucket])
-            rng[rows] = r
-            shift(rows[r < _TOP])
-            model.count(k, rows, bucket)
-        model.update(k, x, hit2.astype(np.int32), hit1.astype(np.int32))
-    for _ in range(2):
-        shift(np.arange(lanes))
-    out = []
-    for i in range(lanes):
-        d = digits[i, : used[i]].astype(np.int64)
-        while (carry := d >> 16).any():
-            d &= 0xFFFF
-            d[:-1] += carry[1:]
-        out.append(d)
-    return out
+    """The coded form of each array of ids, on the driver; for tests and small jobs."""
+    coder = jvm.instance(SparkSession.builder.getOrCreate(), "Encode")
+    return [bytes(coder.call(np.asarray(b, "<u2").tobytes())) for b in blocks]
 
 
 def decode_blocks(payloads: list[bytes]) -> list[np.ndarray]:
-    """The ids of each block; raises ValueError if a block is damaged."""
-    heads = []
-    for p in payloads:
-        if len(p) < _HEAD.size or p[:4] != MAGIC:
-            raise ValueError("not a token block")
-        heads.append(_HEAD.unpack_from(p))
-        if len(p) != _HEAD.size + 2 * heads[-1][2]:
-            raise ValueError("a token block is cut off")
-    order = sorted(range(len(payloads)), key=lambda i: -heads[i][1])
-    out: list[np.ndarray] = [np.zeros(0, np.uint16)] * len(payloads)
-    for at in range(0, len(order), LANES):
-        own = order[at : at + LANES]
-        got = _decode([np.frombuffer(payloads[i], "<u2", offset=_HEAD.size) for i in own], np.array([heads[i][1] for i in own]))
-        for i, ids in zip(own, got, strict=True):
-            if zlib.crc32(ids.astype("<u4")) != heads[i][3]:
-                raise ValueError("a token block's checksum does not match")
-            out[i] = ids
-    return out
+    """The ids of each block, on the driver; raises ValueError if a block is damaged."""
+    coder = jvm.instance(SparkSession.builder.getOrCreate(), "Decode")
+    try:
+        return [np.frombuffer(bytes(coder.call(p)), "<u2") for p in payloads]
+    except Exception as e:
+        raise ValueError(f"a token block is damaged: {str(e).splitlines()[0]}") from e
 
 
-def _decode(inputs: list[np.ndarray], sizes: np.ndarray) -> list[np.ndarray]:
-    lanes, most = len(inputs), int(sizes.max(initial=0))
-    digits = np.zeros((lanes, max([2, *map(len, inputs)]) + 4), np.int64)
-    for i, d in enumerate(inputs):
-        digits[i, : len(d)] = d
-    ids = np.zeros((most, lanes), np.int32)
-    active = np.searchsorted(-sizes, -np.arange(most), side="left")
-    model = _Model(lanes)
-    code, rng = digits[:, 0] << 16 | digits[:, 1], np.full(lanes, (1 << 32) - 1, np.int64)
-    used, last = np.full(lanes, 2, np.int64), digits.shape[1] - 1
+def crc32_join(a: int, b: int, length: int) -> int:
+    """CRC-32 of two byte strings laid end to end, from theirs and the second's length."""
+    return jvm.instance(SparkSession.builder.getOrCreate(), "JoinChecksums").call(a, b, length)
 
-    def shift(rows):
-        code[rows] = code[rows] << 16 | digits[rows, np.minimum(used[rows], last)]
-        used[rows] += 1
-        rng[rows] <<= 16
 
-    for t in range(most):
-        k = int(active[t])
-        model.predict(k)
-        f2, f1 = model.f2, model.f1
-        r = rng[:k] >> 12
-        value = code[:k] // r
-        hit2 = value < f2
-        hit1 = (value < f2 + f1) & ~hit2
-        code[:k] -= r * np.where(hit2, 0, np.where(hit1, f2, f2 + f1))
-        rng[:k] = r * np.where(hit2, f2, np.where(hit1, f1, _ONE - f2 - f1))
-        shift(np.flatnonzero(rng[:k] < _TOP))
-        x = np.where(hit2, model.q2, model.q1)
-        rows = np.flatnonzero(~(hit2 | hit1))
-        if len(rows):
-            counts = model.counts
-            total = counts[rows, _BUCKETS].astype(np.int64)
-            r = rng[rows] // total
-            value = np.minimum(code[rows] // r, total - 1).astype(np.uint16)
-            bucket = np.count_nonzero(counts[rows] <= value[:, None], axis=1) - 1
-            start = counts[rows, bucket].astype(np.int64)
-            code[rows] -= r * start
-            rng[rows] = r = r * (counts[rows, bucket + 1] - start)
-            shift(rows[r < _TOP])
-            bits = _MANTISSA[bucket]
-            r = rng[rows] >> bits
-            own = np.minimum(code[rows] // r, (1 << bits) - 1)
-            code[rows] -= r * own
-            rng[rows] = r
-            shift(rows[r < _TOP])
-            x[rows] = np.minimum(own + _BASE[bucket], 0xFFFF)
-            model.count(k, rows, bucket)
-        ids[t, :k] = x
-        model.update(k, x, hit2.astype(np.int32), hit1.astype(np.int32))
-    return [ids[:n, i].astype(np.uint16) for i, n in enumerate(sizes)]
+def _members(kind: str) -> str:
+    return f"file int, block int, {kind} binary, doc_ids array<bigint>, numbers array<bigint>, pieces array<int>, places array<bigint>, sizes array<int>"
 
 
-BLOCK_SCHEMA = "file int, block int, payload binary, first bigint, doc_ids array<bigint>, numbers array<bigint>, pieces array<int>, sizes array<int>"
+BLOCK_SCHEMA = _members("payload")
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = END, text="text", doc_id="doc_id") -> None:
     """Encodes every text, appends the end id and writes the ids in ascending doc_id order."""
     spark, tokenizer = docs.sparkSession, tokenizer or tokenizer_path("byte_bpe_50k.json")
+    jvm.register(spark)
     bounded_batches(spark)
     files = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col(doc_id).cast("bigint").alias("d"), F.col(text).alias("t")).repartitionByRange(files, "d").sortWithinPartitions("d")
@@ -241,28 +67,26 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end:
         from pyspark import TaskContext
 
         number, encoder, stop = TaskContext.get().partitionId(), shared_encoder(ByteBpeEncoder, tokenizer), np.array([end], np.uint16).tobytes()
-        blocks, done, first, doc_number = [], 0, 0, 0
+        blocks, done, place, doc_number = [], 0, 0, 0
         ids, members, size = [], [], 0
 
         def close():
-            nonlocal ids, members, size, first
+            nonlocal ids, members, size
             if size:
-                blocks.append((np.frombuffer(b"".join(ids), np.uint16), first, members))
-                first += size
+                blocks.append((b"".join(ids), members))
                 ids, members, size = [], [], 0
 
         def emit():
             nonlocal done, blocks
-            coded = encode_blocks([b[0] for b in blocks])
             n = len(blocks)
-            column = lambda i, kind: pa.array([[m[i] for m in b[2]] for b in blocks], pa.list_(kind))
-            out = [pa.array([number] * n, pa.int32()), pa.array(range(done, done + n), pa.int32()), pa.array(coded, pa.binary()), pa.array([b[1] for b in blocks], pa.int64()), column(0, pa.int64()), column(1, pa.int64()), column(2, pa.int32()), column(3, pa.int32())]
+            column = lambda i, kind: pa.array([[m[i] for m in b[1]] for b in blocks], pa.list_(kind))
+            out = [pa.array([number] * n, pa.int32()), pa.array(range(done, done + n), pa.int32()), pa.array([b[0] for b in blocks], pa.binary()), column(0, pa.int64()), column(1, pa.int64()), column(2, pa.int32()), column(3, pa.int64()), column(4, pa.int32())]
             done, blocks = done + n, []
-            return pa.record_batch(out, names=["file", "block", "payload", "first", "doc_ids", "numbers", "pieces", "sizes"])
+            return pa.record_batch(out, names=["file", "block", "ids", "doc_ids", "numbers", "pieces", "places", "sizes"])
 
-        for b in batches:
-            for doc, t in zip(b["d"].to_pylist(), b["t"].to_pylist(), strict=True):
-                own = encoder.encode(t or "") + stop
+        for b in chunks(batches, "t"):
+            for doc, own in zip(b["d"].to_pylist(), encoder.encode_column(b["t"]), strict=True):
+                own += stop
                 if size and size + len(own) // 2 > BLOCK:
                     close()
                 for piece, i in enumerate(range(0, len(own), 2 * BLOCK)):
@@ -270,87 +94,39 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end:
                     if size + len(part) // 2 > BLOCK:
                         close()
                     ids.append(part)
-                    members.append((doc, doc_number, piece, len(part) // 2))
+                    members.append((doc, doc_number, piece, place, len(part) // 2))
                     size += len(part) // 2
+                    place += len(part) // 2
                 doc_number += 1
-                if len(blocks) >= LANES:
+                if len(blocks) >= _TOGETHER:
                     yield emit()
         close()
         if blocks:
             yield emit()
 
-    rows.mapInArrow(run, BLOCK_SCHEMA).write.parquet(path)
-
-
-def read_blocks(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each piece of a document in a block: file, number, piece, doc_id, at (place in the file), n, ids and their crc."""
-    bounded_batches(spark)
-
-    def run(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            cols = {c: [] for c in ("file", "number", "piece", "doc_id", "at", "n", "ids", "crc")}
-            decoded = decode_blocks(b["payload"].to_pylist())
-            for ids, file, first, docs, numbers, pieces, sizes in zip(decoded, *(b[c].to_pylist() for c in ("file", "first", "doc_ids", "numbers", "pieces", "sizes")), strict=True):
-                at = 0
-                for doc, number, piece, n in zip(docs, numbers, pieces, sizes, strict=True):
-                    own = ids[at : at + n]
-                    for c, x in zip(cols, (file, number, piece, doc, first + at, n, own.tobytes(), zlib.crc32(own.astype("<u4"))), strict=True):
-                        cols[c].append(x)
-                    at += n
-            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
-            yield pa.record_batch([pa.array(v, k) for v, k in zip(cols.values(), kinds, strict=True)], names=list(cols))
+    rows.mapInArrow(run, _members("ids")).withColumn("ids", F.call_function("token_block_encode", "ids")).withColumnRenamed("ids", "payload").write.parquet(path)
 
-    return spark.read.parquet(path).mapInArrow(run, "file int, number bigint, piece int, doc_id bigint, at bigint, n bigint, ids binary, crc bigint")
 
+def _pieces(spark: SparkSession, path: str, function: str, name: str) -> DataFrame:
+    """One row for each piece of a document in a block, with what the function makes of it."""
+    jvm.register(spark)
+    own = F.arrays_zip("numbers", "pieces", "doc_ids", "places", "sizes", F.call_function(function, "payload", "sizes").alias(name))
+    rows = spark.read.schema(BLOCK_SCHEMA).parquet(path).select("file", F.explode(own).alias("p"))
+    return rows.select("file", F.col("p.numbers").alias("number"), F.col("p.pieces").alias("piece"), F.col("p.doc_ids").alias("doc_id"), F.col("p.places").alias("at"), F.col("p.sizes").cast("bigint").alias("n"), F.col("p")[name].alias(name))
 
-def _times(matrix: list[int], vector: int) -> int:
-    out = 0
-    for row in matrix:
-        if vector & 1:
-            out ^= row
-        vector >>= 1
-        if not vector:
-            break
-    return out
 
-
-def crc32_join(a: int, b: int, length: int) -> int:
-    """CRC-32 of two byte strings laid end to end, from theirs and the second's length: shifts a by as many zero bytes."""
-    op = [0xEDB88320, *(1 << i for i in range(31))]  # one zero bit
-    for _ in range(3):
-        op = [_times(op, x) for x in op]
-    while length:
-        if length & 1:
-            a = _times(op, a)
-        op, length = [_times(op, x) for x in op], length >> 1
-    return a ^ b
+def read_blocks(spark: SparkSession, path: str) -> DataFrame:
+    """One row for each piece of a document in a block: file, number, piece, doc_id, at (place in the file), n and ids."""
+    return _pieces(spark, path, "token_block_parts", "ids")
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens and ids_crc32 of each document, from the files."""
-    sizes = spark.read.parquet(path).select("file", F.aggregate("sizes", F.lit(0).cast("bigint"), lambda s, x: s + x).alias("n")).groupBy("file").agg(F.sum("n").alias("n"))
+    sizes = spark.read.schema(BLOCK_SCHEMA).parquet(path).select("file", F.aggregate("sizes", F.lit(0).cast("bigint"), lambda s, x: s + x).alias("n")).groupBy("file").agg(F.sum("n").alias("n"))
     # a row for each file, however many documents there are
     before = sizes.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("before"))
-    pieces = read_blocks(spark, path).select("file", "number", "piece", "doc_id", "at", "n", "crc")
-
-    def run(batches):
-        held = None
-        names = ["file", "doc_id", "at", "n_tokens", "ids_crc32"]
-        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-        for b in batches:
-            done = []
-            for file, number, piece, doc, at, n, crc in zip(*(b[c].to_pylist() for c in ("file", "number", "piece", "doc_id", "at", "n", "crc")), strict=True):
-                if piece and held and held[:2] == (file, number):
-                    held = (*held[:4], held[4] + n, crc32_join(held[5], crc, 4 * n))
-                    continue
-                if held:
-                    done.append((held[0], *held[2:]))
-                held = file, number, doc, at, n, crc
-            yield pa.record_batch([pa.array([r[i] for r in done], k) for i, k in enumerate(kinds)], names=names)
-        if held:
-            yield pa.record_batch([pa.array([held[i]], k) for i, k in zip((0, 2, 3, 4, 5), kinds, strict=True)], names=names)
-
-    whole = pieces.repartition("file", "number").sortWithinPartitions("file", "number", "piece").mapInArrow(run, "file int, doc_id bigint, at bigint, n_tokens bigint, ids_crc32 bigint")
-    return whole.join(F.broadcast(before), "file").select("doc_id", (F.col("at") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
+    parts = _pieces(spark, path, "token_block_checksums", "crc")
+    whole = parts.groupBy("file", "number").agg(F.min("doc_id").alias("doc_id"), F.min("at").alias("at"), F.sum("n").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("piece", "n", "crc"))).alias("parts"))
+    rest = F.slice("parts", F.lit(2), F.size("parts"))
+    crc = F.aggregate(rest, F.col("parts")[0]["crc"], lambda a, x: F.call_function("token_checksums_join", a, x["crc"], 4 * x["n"]))
+    return whole.join(F.broadcast(before), "file").select("doc_id", (F.col("at") + F.col("before")).alias("start"), "n_tokens", F.when(F.size("parts") > 1, crc).otherwise(F.col("parts")[0]["crc"]).alias("ids_crc32"))

@@ -6,7 +6,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from stepfree.llm import tokencoder, viterbi
-from stepfree.llm.common import load_tokenizer, scratch_path, tokenizer_path
+from stepfree.llm.common import ByteBpeEncoder, load_tokenizer, scratch_path, tokenizer_path
+
+pytestmark = pytest.mark.usefixtures("spark")
 
 
 @settings(max_examples=30, deadline=None)
@@ -32,6 +34,16 @@ def test_full_blocks_shrink_and_damage_is_found():
             tokencoder.decode_blocks([bad])
 
 
+def test_blocks_are_smaller_than_zlib_makes_them(documents):
+    encoder = ByteBpeEncoder(tokenizer_path("byte_bpe_50k.json"))
+    ids = b"".join(encoder.encode(r["text"] or "") + b"\0\0" for r in documents.orderBy("doc_id").collect())
+    for size in (4096, tokencoder.BLOCK):
+        blocks = [np.frombuffer(ids[i : i + 2 * size], "<u2") for i in range(0, len(ids), 2 * size)]
+        coded = tokencoder.encode_blocks(blocks)
+        assert sum(map(len, coded)) < 0.95 * sum(len(zlib.compress(b.tobytes(), 9)) for b in blocks)
+        assert all((a == b).all() for a, b in zip(tokencoder.decode_blocks(coded), blocks, strict=True))
+
+
 def test_checksums_of_parts_join():
     rng = np.random.default_rng(1)
     for n in (0, 1, 4, 1000, 40_000):
@@ -51,6 +63,13 @@ def test_files_hold_every_document_in_order(spark, documents):
         start += len(ids)
     got = sorted(tuple(r) for r in tokencoder.read_index(spark, path).collect())
     assert got == want
+    held = {}
+    for r in sorted(tokencoder.read_blocks(spark, path).collect(), key=lambda r: (r["file"], r["number"], r["piece"])):
+        held[r["doc_id"]] = held.get(r["doc_id"], b"") + bytes(r["ids"])
+    assert {d: zlib.crc32(np.frombuffer(x, "<u2").astype("<u4")) for d, x in held.items()} == {d: c for d, _, _, c in want}
+    clash = docs.where("doc_id < 5").selectExpr("doc_id", "text", "doc_id as d", "text as t", "1 as ids", "2 as file").union(docs.where("doc_id = 3").selectExpr("doc_id", "text", "0", "'x'", "1", "2"))
+    tokencoder.write_tokens(clash, path + "-clash")
+    assert sorted((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in tokencoder.read_index(spark, path + "-clash").collect()) == sorted((d, n, c) for d, _, n, c in want + [w for w in want if w[0] == 3] if d < 5)
     empty = scratch_path(spark, "test-empty")
     tokencoder.write_tokens(docs.limit(0), empty)
     assert tokencoder.read_index(spark, empty).count() == 0
