@@ -49,6 +49,12 @@ def drop_scratch(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, or if a column of df is called so, whatever the case, the first of name_1, name_2, ... that is free."""
+    taken = {c.lower() for c in df.columns}
+    return name if name.lower() not in taken else next(f"{name}_{i}" for i in range(1, len(taken) + 2) if f"{name}_{i}".lower() not in taken)
+
+
 class WordCache(dict):
     """What a word is turned into, looked up once. Memory stays bounded: beyond ``limit`` words only the first ``kept`` ones,
     which are likely to be common, and the last ``kept`` ones stay."""

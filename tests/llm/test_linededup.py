@@ -102,3 +102,48 @@ def test_rest_of_a_line_stays_as_it_was(spark):
     got = {r["doc_id"]: (r["text"], r["lines_deleted"]) for r in linededup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1] == (rows[0][1], 0)
     assert got[2][0] == "  Head  of it. p61 tail\tstays\n\nnext" and got[2][1] == 1
+
+
+def test_copies_that_overlap_and_hot_passages_equal_brute_force(spark):
+    rng = random.Random(8)
+    new = lambda n: [f"u{rng.randrange(10**6)}" for _ in range(n)]
+    long, common = new(150), new(64)
+    docs = []
+    for d in range(60):
+        a, b = rng.randrange(60), rng.randrange(20)
+        words = new(rng.randrange(20)) + long[a : a + 40 + rng.randrange(60)] + long[a + 20 : a + 75] + new(rng.randrange(3))
+        if d % 3 == 0:
+            words += common[b:] + new(2) + common
+        docs.append((d, " ".join(words)))
+    docs += [(70, " ".join(["x", "y"] * 80)), (71, " ".join(["y", "x"] * 80)), (72, docs[3][1])]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for sample in (0, 10**9):  # nothing is hot, or all that is there twice
+        found = {r["d"]: sorted(r["passages"]) for r in linededup.later_passages(df, sample=sample).groupBy("d").agg({"passages": "first"}).selectExpr("d", "`first(passages)` as passages").collect()}
+        gone = {d: {w for r in own for w in range(r >> 32, min(1000, r & 0xFFFFFFFF) + 1)} for d, own in found.items()}
+        want = plain_passages(docs, 50)
+        assert {d: [w for i, w in enumerate(t.split()) if i not in gone.get(d, ())] for d, t in docs} == want
+
+
+def test_columns_with_any_names_stay(spark):
+    passage = " ".join(f"p{i}" for i in range(60))
+    names = ["d", "h", "_d", "_h", "runs", "_runs", "d_1", "lines_deleted"]
+    df = spark.createDataFrame([(1, passage, *range(8)), (2, passage + " more", *range(8))], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    got = linededup.remove_repeats(df)
+    assert got.columns == [*df.columns, "lines_deleted_1"]
+    rows = {r["doc_id"]: r for r in got.collect()}
+    assert rows[2]["text"] == "more" and rows[2]["lines_deleted_1"] == 1 and [rows[2][n] for n in names] == list(range(8))
+
+
+def test_words_are_hashed_alike_wherever_they_stand():
+    import pyarrow as pa
+
+    texts = ["", "a bb  ccc", None, "ccc\n bb\ta", "é日 a", " ", "x" * 5000 + " bb"]
+    w, starts = linededup.word_hashes(pa.array([t or "" for t in texts]).slice(1))
+    own = [w[a:b].tolist() for a, b in zip(starts[:-1], starts[1:])]
+    assert [len(x) for x in own] == [3, 0, 3, 2, 0, 2]
+    assert own[0] == own[2][::-1] and own[3][1] == own[0][0] and own[5][1] == own[0][1] and len(set(w.tolist())) == 5
+    part, linededup._PART = linededup._PART, 8
+    try:
+        assert linededup.word_hashes(pa.array([t or "" for t in texts]).slice(1))[0].tolist() == w.tolist()
+    finally:
+        linededup._PART = part
