@@ -43,8 +43,9 @@ from .common import bounded_batches, free_name, materialize
 from .components import salted_join
 
 LEAST_WORDS = PASSAGE_WORDS = 50
-#: Texts of the sample that tells hot fingerprints, how many fingerprints are hot at most, and over how many tasks each is dealt.
-SAMPLE, HOT, SALTS = 4000, 1 << 16, 16
+#: Texts of the sample that tells hot fingerprints, in how many of them such a one is, how many there are at most, and over how many
+#: tasks each is dealt.
+SAMPLE, OFTEN, HOT, SALTS = 4000, 8, 1 << 16, 16
 _SLOTS = 1 << 22
 _WORD = re.compile(r"[^ \t-\r]+")
 _FACTOR = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93))
@@ -220,20 +221,20 @@ def _among(x: np.ndarray, values: np.ndarray) -> np.ndarray:
     return values[np.minimum(np.searchsorted(values, x), len(values) - 1)] == x
 
 
-def _hot_keys(rows: DataFrame, passage: int, sample: int, most: int) -> np.ndarray:
-    """Fingerprints that several of about ``sample`` texts hold, sorted; ``most`` of them at most, the most frequent ones."""
+def _hot_keys(rows: DataFrame, passage: int, sample: int, often: int, most: int) -> np.ndarray:
+    """Fingerprints at ``often`` places in about ``sample`` texts, sorted; ``most`` of them at most, the most frequent ones."""
     share = min(1.0, sample / max(rows.count(), 1))
     drawn = rows.where(F.pmod(F.xxhash64(F.lit("sample"), "d"), F.lit(1 << 30)) < int(share * (1 << 30)))
     own = drawn.mapInArrow(_fingerprints(passage, np.zeros(0, np.int64)), "key bigint, h bigint, at bigint, d bigint")
-    got = own.groupBy("key").agg(F.count("*").alias("n"), F.min("h").alias("a"), F.max("h").alias("b")).where("a < b").orderBy(F.desc("n"), "key").limit(most).select("key").toArrow()
+    got = own.groupBy("key").agg(F.count("*").alias("n"), F.min("h").alias("a"), F.max("h").alias("b")).where((F.col("a") < F.col("b")) & (F.col("n") >= often)).orderBy(F.desc("n"), "key").limit(most).select("key").toArrow()
     return np.sort(got["key"].to_numpy())
 
 
-def later_passages(docs: DataFrame, passage: int = PASSAGE_WORDS, text="text", doc_id="doc_id", sample: int = SAMPLE) -> DataFrame:
+def later_passages(docs: DataFrame, passage: int = PASSAGE_WORDS, text="text", doc_id="doc_id", sample: int = SAMPLE, often: int = OFTEN) -> DataFrame:
     """d, h (of the text) and passages: the word ranges (first << 32 | last) of each document that occurred before; documents without any are absent."""
     bounded_batches(docs.sparkSession)
     rows = _texts(docs, text, doc_id)
-    hot = _hot_keys(rows, passage, sample, HOT)
+    hot = _hot_keys(rows, passage, sample, often, HOT)
     schema = "key bigint, h bigint, at bigint, d bigint"
     joined = rows.mapInArrow(_fingerprints(passage, hot, False), schema).repartition("key").sortWithinPartitions("key", "h", "at", "d").mapInArrow(_often, "h bigint, at bigint, d bigint")
     known = rows.mapInArrow(_fingerprints(passage, hot, True), schema).select("h", "at", "d") if len(hot) else joined.limit(0)

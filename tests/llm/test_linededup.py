@@ -118,7 +118,7 @@ def test_copies_that_overlap_and_hot_passages_equal_brute_force(spark):
     docs += [(70, " ".join(["x", "y"] * 80)), (71, " ".join(["y", "x"] * 80)), (72, docs[3][1])]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     for sample in (0, 10**9):  # nothing is hot, or all that is there twice
-        found = {r["d"]: sorted(r["passages"]) for r in linededup.later_passages(df, sample=sample).groupBy("d").agg({"passages": "first"}).selectExpr("d", "`first(passages)` as passages").collect()}
+        found = {r["d"]: sorted(r["passages"]) for r in linededup.later_passages(df, sample=sample, often=2).groupBy("d").agg({"passages": "first"}).selectExpr("d", "`first(passages)` as passages").collect()}
         gone = {d: {w for r in own for w in range(r >> 32, min(1000, r & 0xFFFFFFFF) + 1)} for d, own in found.items()}
         want = plain_passages(docs, 50)
         assert {d: [w for i, w in enumerate(t.split()) if i not in gone.get(d, ())] for d, t in docs} == want

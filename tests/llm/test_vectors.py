@@ -93,3 +93,41 @@ def test_every_leaf_path_can_be_followed():
         sizes = np.bincount(leaves[:, 2 * t], minlength=16)
         assert sizes.max() <= 2 * 500 / 16 + 8
         assert (leaves[:, 2 * t] != leaves[:, 2 * t + 1]).all()
+
+
+def plain_links(rows):
+    """n_links of every row: equal labels and lengths, cosine of 0.93 or more."""
+    good, links = usable(rows), {r[0]: 0 for r in rows}
+    for a in good:
+        for b in good:
+            if a[0] != b[0] and a[2] == b[2] and len(a[1]) == len(b[1]):
+                x, y = np.array(a[1]), np.array(b[1])
+                links[a[0]] += (x @ y) / np.linalg.norm(x) / np.linalg.norm(y) >= 0.93
+    return links
+
+
+def test_vectors_of_several_lengths(spark):
+    rows = clustered(4, 300) + [(20_000 + 20 * i, r[1] + [0.5], r[2], None) for i, r in enumerate(clustered(5, 200))] + [(40_000, [1.0] * 17 + [2.0], 1, None)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = plain_links(rows)
+    assert {r["vec_id"]: r["n_links"] for r in rpforest.link(df).collect()} == want
+    deep = {r["vec_id"]: r["n_links"] for r in rpforest.link(df, leaf=20, trees=16).collect()}
+    assert deep.keys() == want.keys() and all(deep[i] <= want[i] for i in want) and sum(deep.values()) >= 0.95 * sum(want.values())
+    got, sizes = {}, {r[0]: len(r[1]) for r in rows}
+    for r in postings.nearest(df, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert set(got) == {r[0] for r in rows if r[0] % 20 == 0} - {40_000}
+    assert all(len(own) == 20 and all(sizes[q] == sizes[i] for i in own) for q, own in got.items())
+
+
+def test_leaf_that_outgrows_its_size_is_compared_in_blocks(spark):
+    rng = np.random.default_rng(9)
+    hot = rng.standard_normal(16)
+    rows = [(i, [float(v) for v in hot + 0.02 * rng.standard_normal(16)], 0, None) for i in range(400)] + [(1000 + i, [float(v) for v in rng.standard_normal(16)], 0, None) for i in range(200)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = plain_links(rows)
+    # the sample knows nothing of the group, which stays in few leaves
+    few = df.where("vec_id >= 1000").unionByName(df.where("vec_id < 1000"))
+    got = {r["vec_id"]: r for r in rpforest.link(few, leaf=30, sample=8, trees=16).collect()}
+    assert sum(r["n_links"] for r in got.values()) >= 0.97 * sum(want.values())
+    assert all(got[i]["n_links"] <= want[i] for i in want) and {got[i]["component_id"] for i in range(400)} == {0}
