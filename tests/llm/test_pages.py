@@ -32,6 +32,45 @@ def test_cases():
     assert text("<article><form><p>f</p></form><ul><li>one<li>two</ul></article>") == "one two"
 
 
+def test_classes_that_only_mention_noise_do_not_empty_a_page():
+    text = htmltext.main_text
+    para = "This paragraph is long enough to be taken for the main text of the page, as it has words."
+    for page in (
+        f"<div class='content with-sidebar'><p>{para}</p></div>",
+        f"<article class='post share-enabled'><p>{para}</p></article>",
+        f"<section id='skip-to-main'><p>{para}</p></section>",
+        f"<div class='main-content no-sidebar'><p>{para}</p><div class='sidebar-left'>links</div></div><div id='site-footer'>x</div>",
+        f"<div class=widget><p>{para} {para}</p></div>",  # all there is
+    ):
+        assert text(page) == " ".join([para] * page.count(para)), page
+    assert text(f"<p>{para}</p><div class='cookie-banner'>We use cookies.</div><p>Short end.</p>") == para + " Short end."
+    assert text(f"<div class='comments-list'>{'<p>A reader says this at some length, twice over.</p>' * 8}</div><article><p>{para}</p></article>") == para
+    assert text(f"<p>{para}</p><p>{para}</p>" + "<div>x</div>" * 0 + f"<nav>{'menu ' * 50}</nav><p>tail</p>") == f"{para} {para}"
+
+
+def test_broken_markup_takes_time_in_proportion():
+    import time
+
+    for unit in ("<p ", "<p \"", "<a href='x ", "<", "<!", "<div class=\"a>", "<!--", "</"):
+        took = []
+        for n in (20_000, 80_000):
+            html = "<p>begin</p>" + unit * n + "<p>end</p>"
+            began = time.perf_counter()
+            assert htmltext.main_text(html).startswith("begin")
+            took.append(time.perf_counter() - began)
+        assert took[1] < 12 * took[0] + 0.2, unit
+
+
+def test_empty_table_and_columns(spark):
+    pages = spark.createDataFrame([(1, "http://a/", "<p>x</p>", "y", 5), (1, None, None, None, 5), (1, None, None, None, 5)], "page_id long, url string, html string, text string, h int")
+    assert sorted((r["page_id"], r["url"] or "", r["text"], r["n_chars"]) for r in htmltext.extract(pages).collect()) == [(1, "", "", 0), (1, "", "", 0), (1, "http://a/", "x", 1)]
+    assert htmltext.extract(pages.limit(0)).count() == 0
+
+
+#: Hosts of the table that are unwanted by their names.
+BAD = ("adult-x", "casino-win", "free-bets", "spam-farm", "cheap-pills", "ads-track")
+
+
 def plain_rule(url):
     if url is None or "://" not in url:
         return "", "", None, None
@@ -58,7 +97,7 @@ def test_rules_equal_brute_force_and_the_method_decides_the_rest(spark):
         assert (got[i]["host"], got[i]["path"], got[i]["rule"]) == (host, path, rule), u
         assert got[i]["verdict"] == (says or ("block" if got[i]["score"] >= 0.5 else "allow"))
     assert got[urls.index("http://casino.example.fr/poker/1")]["verdict"] == "block"
-    free = [r for r in got.values() if r["rule"] is None and r["page_id"] < 250]
+    free = [r for r in got.values() if r["rule"] is None and r["page_id"] < 250 and not any(w in r["host"] for w in BAD)]
     assert sum(r["verdict"] == "allow" for r in free) >= 0.95 * len(free)
     assert urlfilter.judge(df.limit(0), urlfilter.train(urlfilter.labelled_urls(spark))).count() == 0
 
@@ -74,3 +113,11 @@ def test_training_urls_are_told_apart_and_grams_equal_python(spark):
         s = f"^{t}$"
         want = ["h:" + s[i : i + n] for n in (3, 4) for i in range(len(s) - n + 1)]
         assert spark.range(1).select(urlfilter.ngrams(F.lit(t), "h:").alias("g")).first()["g"] == want
+
+
+def test_unwanted_hosts_of_the_table_and_words_not_listed(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    model = urlfilter.train(urlfilter.labelled_urls(spark))
+    got = [(any(w in r["host"] for w in BAD), r["verdict"]) for r in urlfilter.judge(pages, model, rules=()).collect()]
+    assert sum(v == "block" for b, v in got if b) >= 0.95 * sum(b for b, _ in got)
+    assert sum(v == "allow" for b, v in got if not b) >= 0.97 * sum(not b for b, _ in got)
