@@ -1,7 +1,7 @@
 """Verdicts on urls: explicit rules first, then logistic regression on hashed character n-grams of host and path.
 
 Only DataFrame functions and JVM transformers run here. The classifier is trained from a small labelled url table; its
-features are the 3- and 4-grams of the host and of the path, hashed apart.
+features are the 3- to 5-grams of the host and of the path, hashed apart.
 
 Cases: a url that is null or has no ``://`` has an empty host and path and no rule; the method judges it like any other.
 An empty table gives an empty one. Equal urls get equal results; other columns are not read and may have any names. Long
@@ -18,26 +18,47 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BUCKETS = 1 << 16
+BUCKETS, SIZES = 1 << 16, (3, 4, 5)
 #: A rule is a host, with all its subdomains, and the start of a path; the longest that fits decides.
 RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "block"), ("example.net/de/8", "block"), ("org/es/", "block"))
 
-# The labelled urls: every word in hosts and in paths, and wanted urls without any of the words.
-_UNWANTED = "casino poker jackpot betting xxx porn escort viagra pills payday warez crack keygen torrent phishing malware adserver clickbait doubleclick spam lottery hookup replica fakenews".split()
-_WANTED = "news science library museum university garden kitchen travel weather history health research teacher school music city forum wiki recipes football cinema archive journal village".split()
+# The labelled urls: hosts and paths with every word, alone and beside words that say nothing, and wanted urls without any of them.
+_UNWANTED = (
+    "adult sex sexy xxx porn escort hookup webcam nude erotic casino poker slots slot roulette jackpot bet bets betting lottery bingo gambling pills pharma viagra cialis"
+    " meds payday loan loans debt warez crack keygen torrent cheat hack phishing malware virus spam scam fraud ads adserver adclick track tracker tracking clickbait popunder"
+    " doubleclick affiliate replica fake fakenews hoax forex crypto rich miracle diet weightloss"
+).split()
+_WANTED = (
+    "news science library museum university garden kitchen travel weather history health research teacher school music city forum wiki recipes football cinema archive"
+    " journal village book books art design photo family nature animals bridge river mountain energy housing council office market craft theatre language physics math"
+    " biology chemistry medicine hospital train bus bike harbour island forest farmers letters poems essay studio workshop gallery"
+).split()
+_BESIDE = "free cheap best win farm top online my get x hot daily big world net 24 365 club zone".split()
+#: Syllables that made-up names are put together from.
+_SYLLABLES = "th er on an re he in ti es en at ed nd st or ou ha nt wh sh ing tion ble ly ea ch au ge ver be ci os ar ue ión".split()
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """url and label (1.0: block), a table of a few rows for each listed word."""
-    word, label = F.explode(F.array(*[F.struct(F.lit(w).alias("w"), F.lit(float(k)).alias("label")) for k, ws in ((1, _UNWANTED), (0, _WANTED)) for w in ws])), "label"
-    base = spark.range(1).select(word.alias("x")).select("x.w", "x.label")
-    forms = ["http://www.{}.example.com/en/1024.html", "https://{}.example.net/de/77/", "http://best-{}.example.org/fr/5?page=2", "https://blog.example.com/{}/es/310", "http://example.net/en/{}-2021.html#top", "https://m.{}online.example.org/"]
-    words = base.select(F.explode(F.array(*[F.format_string(f.replace("{}", "%s"), "w") for f in forms])).alias("url"), label)
-    parts_ = [F.explode(F.array(*map(F.lit, own))).alias(n) for n, own in (("h", ("www.example.com", "blog.example.net", "m.example.org", "example.com", "example.net", "example.org")), ("l", ("en", "de", "fr", "es")), ("t", ("1024", "7.html", "310/", "88?page=2&ref=x", "9021?utm_source=feed", "46#top")))]
-    plain = spark.range(1)
-    for column in parts_:
-        plain = plain.select("*", column)
-    return words.unionByName(plain.select(F.format_string("https://%s/%s/%s", "h", "l", "t").alias("url"), F.lit(0.0).alias("label")))
+    """url and label (1.0: block), a table of a few thousand rows made from the listed words."""
+    hosts = ("www.{}.example.com", "{}.example.net", "blog.{}.example.org", "m.{}.example.com", "{}.example.fr")
+    tails = [f"/{lang}/{t}" for lang in ("en", "de", "fr", "es") for t in ("1024", "7.html", "310/", "88?page=2&ref=x", "9021?utm_source=feed", "46#top")]
+    rows, n = [], len(_SYLLABLES)
+
+    def add(name: str, label: float) -> None:
+        # both labels have every form of host and path alike
+        rows.append((f"https://{hosts[len(rows) % len(hosts)].format(name)}{tails[len(rows) % len(tails)]}", label))
+
+    for label, words in ((1.0, _UNWANTED), (0.0, _WANTED)):
+        for i, w in enumerate(words):
+            pair = [_BESIDE[(i + k) % len(_BESIDE)] for k in (0, 7, 11)]
+            for name in (w, f"{pair[0]}-{w}", f"{w}-{pair[1]}", f"{w}{pair[2]}", f"{pair[1]}{w}", f"{w}-{_BESIDE[(i + 4) % len(_BESIDE)]}"):
+                add(name, label)
+            rows.append((f"https://blog.example.com/{w}{tails[i % len(tails)]}", label))
+    for i in range(len(_UNWANTED) * 18):
+        add("".join(_SYLLABLES[(i * (2 * k + 3) + i // n * (3 * k + 1) + 7 * k * k) % n] for k in range(2 + i % 3)), 0.0)
+    rows += [(f"https://{h}{t}", 0.0) for h in ("www.example.com", "blog.example.net", "m.example.org", "example.com", "example.net", "example.org") for t in tails]
+    own = F.explode(F.split(F.lit("\n".join(f"{url} {label}" for url, label in rows)), "\n")).alias("r")
+    return spark.range(1).select(own).select(F.substring_index("r", " ", 1).alias("url"), F.substring_index("r", " ", -1).cast("double").alias("label"))
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -75,7 +96,7 @@ def ngrams(text: Column, prefix: str, sizes=(3, 4)) -> Column:
 
 def features(df: DataFrame, host: str, path: str, out: str, buckets: int) -> DataFrame:
     terms = f"{out}_terms"
-    df = df.withColumn(terms, F.concat(ngrams(F.col(host), "h:"), ngrams(F.col(path), "p:")))
+    df = df.withColumn(terms, F.concat(ngrams(F.col(host), "h:", SIZES), ngrams(F.col(path), "p:", SIZES)))
     return HashingTF(numFeatures=buckets, binary=True, inputCol=terms, outputCol=out).transform(df).drop(terms)
 
 
@@ -93,7 +114,7 @@ class UrlModel:
 def train(labelled: DataFrame, url="url", label="label", buckets: int = BUCKETS) -> UrlModel:
     host, path = parts(F.col(url))
     rows = features(labelled.select(host.alias("_h"), path.alias("_q"), F.col(label).cast("double").alias("_y")), "_h", "_q", "_x", buckets)
-    return UrlModel(LogisticRegression(featuresCol="_x", labelCol="_y", regParam=0.001, maxIter=50, standardization=False).fit(rows.coalesce(1)), buckets)
+    return UrlModel(LogisticRegression(featuresCol="_x", labelCol="_y", regParam=0.0003, maxIter=80, standardization=False).fit(rows.coalesce(1)), buckets)
 
 
 def judge(pages: DataFrame, model: UrlModel, rules=RULES, url="url", page_id="page_id", threshold: float = 0.5) -> DataFrame:
