@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepfree.functions.geo import haversine
+from stepfree.scratch import drop, materialize
 
 SHORT_LINK_M = 15.0  # slopes of shorter links are measurement noise and never block
 DERIVED_COST = 4.0
@@ -104,31 +105,17 @@ def both_ways(edges: DataFrame, *columns: str) -> DataFrame:
     return edges.select("u", "v", *columns).union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), *columns))
 
 
-def _saved(df: DataFrame, every: str) -> DataFrame:
-    """Cuts the lineage in the shared checkpoint folder, so that a lost executor costs no rerun of earlier rounds."""
-    import tempfile
-    import uuid
-
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="stepfree-rounds-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/{every}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root): root is the smallest node reachable. Rounds of large and small stars; only a checksum is collected."""
-    e = _saved(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    e = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     last = None
     for _ in range(most_rounds):
         least = both_ways(e).groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = _saved(both_ways(e).where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        large = materialize(both_ways(e).where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = _saved(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "small")
+        before, e = e, materialize(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "small")
+        drop(before, large)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == last or not now[0]:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select("v", "v").distinct())
@@ -148,13 +135,13 @@ def costs_from(edges: DataFrame, source: int, p: Profile, most_rounds: int = 10_
 
     Only nodes that became cheaper in the last round are joined with their links.
     """
-    arcs = _saved(both_ways(edges.where(passable(edges, p)).withColumn("c", cost(p)), "c"), "arcs")
+    arcs = materialize(both_ways(edges.where(passable(edges, p)).withColumn("c", cost(p)), "c"), "arcs")
     best = edges.sparkSession.range(1).select(F.lit(source).cast("bigint").alias("node"), F.lit(0.0).alias("cost"), F.lit(True).alias("fresh"))
     for _ in range(most_rounds):
         step = best.where("fresh").join(arcs, F.col("node") == arcs.u).groupBy(F.col("v").alias("node")).agg(F.min(F.col("cost") + F.col("c")).alias("new"))
         merged = best.select("node", "cost").join(step, "node", "full_outer")
         cheaper = F.col("new").isNotNull() & (F.col("cost").isNull() | (F.col("new") < F.col("cost")))
-        best = _saved(merged.select("node", F.when(cheaper, F.col("new")).otherwise(F.col("cost")).alias("cost"), cheaper.alias("fresh")), "costs")
+        best = materialize(merged.select("node", F.when(cheaper, F.col("new")).otherwise(F.col("cost")).alias("cost"), cheaper.alias("fresh")), "costs")
         if best.where("fresh").isEmpty():
             return best.select("node", "cost")
     raise RuntimeError("costs did not settle")
