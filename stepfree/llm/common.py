@@ -5,48 +5,23 @@ from __future__ import annotations
 import functools
 import re
 import string
-import tempfile
 import unicodedata
-import uuid
 from array import array
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..scratch import drop, materialize, scratch_path, scratch_root  # noqa: F401
 
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that the driver and every executor share, from spark.checkpoint.dir; set here only if unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="stepfree-scratch-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
 
-
-def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{scratch_root(spark)}/{tag}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Cuts the lineage: writes df to the shared scratch folder and reads it back with the same schema."""
-    path = scratch_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Texts and vectors are long, so a batch sent to Python holds at most this many rows, unless the user set a number."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key, "10000") == "10000":
-        spark.conf.set(key, str(rows))
-
-
-def drop_scratch(spark: SparkSession, path: str) -> None:
-    """Removes a scratch table that no later plan reads."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+def bounded_batches(spark: SparkSession, rows: int = 2000, size: int = 1 << 25) -> None:
+    """Texts and vectors are long, so a batch sent to Python holds at most so many rows and bytes, unless the user set a number."""
+    for key, plain, own in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", None, size)):
+        if spark.conf.get(key, plain) == plain:
+            spark.conf.set(key, str(own))
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -55,6 +30,13 @@ def free_name(df: DataFrame, name: str) -> str:
     return name if name.lower() not in taken else next(f"{name}_{i}" for i in range(1, len(taken) + 2) if f"{name}_{i}".lower() not in taken)
 
 
+def without(docs: DataFrame, gone: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """The rows of docs, with all their columns, but those whose id and text are those of a row of gone (doc_id, and h, the text's hash)."""
+    d, h = free_name(docs, "gone"), free_name(docs, "gone_text")
+    own = gone.select(F.col("doc_id").alias(d), F.col("h").alias(h)).distinct()
+    return docs.join(own, (docs[doc_id].cast("bigint") == F.col(d).cast("bigint")) & (F.xxhash64(docs[text]) == F.col(h)), "left_anti")
+
+
 class WordCache(dict):
     """What a word is turned into, looked up once. Memory stays bounded: beyond ``limit`` words only the first ``kept`` ones,
     which are likely to be common, and the last ``kept`` ones stay."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import drop, materialize
 
 #: A hub's neighbours are dealt out by this many salts, so that no task holds them all.
 SALTS = 16
@@ -34,7 +34,8 @@ def connected_components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
         large = materialize(large, "large-star")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         below = salted_join(large, least, "u")
-        e = materialize(below.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct(), "small-star")
+        before, e = e, materialize(below.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct(), "small-star")
+        drop(before, large)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.countDistinct("u")).first()
         if tuple(now) == last and now[0] == now[2] or not now[0]:
             break

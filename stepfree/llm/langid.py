@@ -70,6 +70,18 @@ def _forward(weights: dict[int, np.ndarray], n: int, longest: int) -> tuple[np.n
     return alpha, scale
 
 
+def _prefix_logs(weights: dict[int, np.ndarray], n: int) -> np.ndarray:
+    """Logs of the sums over segmentations of each prefix [place, word, language]."""
+    out = np.zeros((n + 1, weights[1].shape[0], weights[1].shape[2]))
+    for i in range(1, n + 1):
+        total = 0.0
+        for length, w in weights.items():
+            if length <= i:
+                total = total + np.exp(out[i - length] - out[i - 1]) * w[:, i - length]
+        out[i] = out[i - 1] + np.log(total)
+    return out
+
+
 @dataclass
 class LanguageModel:
     languages: list[str]
@@ -93,17 +105,17 @@ class LanguageModel:
         """Expected number of uses of each piece [piece, language], for words counted by language."""
         total = np.zeros_like(self.probs)
         at = {w: i for i, w in enumerate(words)}
-        for n, group in by_length([w for w in words if len(w) <= 40]):
+        for n, group in by_length(words):
             chars = codes(group, n)
             found = self.table.probe(chars)
             w = _weights(found, chars.shape, self.probs)
+            # logs, as the sums of long words are below what a double holds; backwards, pieces stand by where they end
             back = {k: v[:, ::-1] for k, v in w.items()}
-            alpha, _ = _forward(w, n, 0)
-            beta, _ = _forward(back, n, 0)
-            own = counts[[at[x] for x in group]] / np.maximum(alpha[n], 1e-300)
+            alpha, beta, own = _prefix_logs(w, n), _prefix_logs(back, n), counts[[at[x] for x in group]]
             for length, ids in found.items():
                 hit = ids >= 0
-                uses = own[:, None] * alpha[: n - length + 1].transpose(1, 0, 2) * w[length] * beta[n - length :: -1].transpose(1, 0, 2)
+                share = np.exp(alpha[: n - length + 1] + beta[n - length :: -1] - alpha[n]).transpose(1, 0, 2)
+                uses = own[:, None] * share * w[length]
                 for k in range(total.shape[1]):
                     total[:, k] += np.bincount(ids[hit], uses[..., k][hit], minlength=len(total))
         return total
@@ -224,8 +236,13 @@ def predict(docs: DataFrame, model: LanguageModel, text="text", doc_id="doc_id")
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, text="text", least: float = 0.0) -> DataFrame:
-    """The rows, with all their columns, whose text is in a learned language, by a score of ``least`` at least; others have no letters."""
+    """The rows, with all their columns, whose text is in a learned language, by a score of ``least`` at least; others have no letters.
+
+    A model that has learned no language tells nothing, so all texts with letters stay.
+    """
     bounded_batches(docs.sparkSession)
+    if not model.languages:
+        return docs.where(F.col(text).rlike(r"\p{L}"))
 
     def run(batches):
         scorer = Scorer(model)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize
+from .common import bounded_batches, materialize, without
 from .components import connected_components, salted_join
 
 WORDS, DISTANCE, SEED, BITS = 4, 4, 42, 64
@@ -45,16 +45,16 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, text="text", doc_id="doc_id") -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long."""
+    """doc_id, fp (the fingerprint as a signed long) and h (a hash of the text)."""
     bounded_batches(docs.sparkSession)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).alias("t"))
 
     def run(batches):
         for b in batches:
             own = np.array([fingerprint(t) for t in b["t"].to_pylist()], np.uint64).view(np.int64)
-            yield pa.record_batch([b["doc_id"], pa.array(own)], names=["doc_id", "fp"])
+            yield pa.record_batch([b["doc_id"], pa.array(own), b["h"]], names=["doc_id", "fp", "h"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp bigint")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp bigint, h bigint")
 
 
 def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray]:
@@ -229,13 +229,13 @@ def links(classes: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, text="text", doc_id="doc_id", distance: int = DISTANCE) -> DataFrame:
-    """doc_id, fp and component_id (the smallest id reachable over links of at most ``distance`` bits) of each document."""
+    """doc_id, fp, h (a hash of the text) and component_id (the smallest id reachable over links of at most ``distance`` bits) of each document."""
     fps = materialize(fingerprints(docs, text, doc_id), "simhash-fps")
     classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").cast("bigint").alias("rep"), F.count("*").alias("n")).where("rep is not null"), "simhash-classes")
     found = connected_components(links(classes, distance))
     roots = classes.join(found, classes.rep == found.node, "left").select("fp", F.coalesce("root", "rep").alias("root"), ((F.col("n") > 1) | F.col("root").isNotNull()).alias("shared"))
     shared = materialize(roots.where("shared").select("fp", "root"), "simhash-roots")
-    return salted_join(fps, shared, "fp", how="left").select("doc_id", "fp", F.coalesce("root", "doc_id").alias("component_id"))
+    return salted_join(fps, shared, "fp", how="left").select("doc_id", "fp", "h", F.coalesce("root", "doc_id").alias("component_id"))
 
 
 def digits(fp="fp"):
@@ -244,6 +244,8 @@ def digits(fp="fp"):
 
 
 def keep_first(docs: DataFrame, text="text", doc_id="doc_id") -> DataFrame:
-    """The documents, with all their columns, that have the smallest id of their component; rows without an id stay."""
-    keep = near_duplicates(docs.where(F.col(doc_id).isNotNull()), text, doc_id).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(keep, docs[doc_id] == F.col("_gone"), "left_anti")
+    """The documents, with all their columns, that have the smallest id of their component; rows without an id stay.
+
+    Rows that share an id are told apart by their texts; rows alike in both are one document, and stay or go together.
+    """
+    return without(docs, near_duplicates(docs.where(F.col(doc_id).isNotNull()), text, doc_id).where("doc_id <> component_id"), text, doc_id)

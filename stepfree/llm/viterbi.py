@@ -139,16 +139,17 @@ def encode(docs: DataFrame, text="text", doc_id="doc_id", path: str | None = Non
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """Adds ``decoded``, the text of the ids, and their number and checksum."""
+    """Adds ``decoded``, the text of the ids, and their number ``n_ids`` and checksum ``ids_crc32``; columns that are called so are replaced."""
     from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-    schema = StructType([*encoded.schema.fields, StructField("decoded", StringType()), StructField("n_ids", LongType()), StructField("ids_crc32", LongType())])
+    kept = [f for f in encoded.schema.fields if f.name.lower() not in ("decoded", "n_ids", "ids_crc32")]
+    schema = StructType([*kept, StructField("decoded", StringType()), StructField("n_ids", LongType()), StructField("ids_crc32", LongType())])
 
     def run(batches):
         vocabulary = Vocabulary(path)
         for b in batches:
             ids = b["ids"].to_pylist()
             more = [pa.array([vocabulary.decode(x) for x in ids], pa.string()), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array([zlib.crc32(np.frombuffer(x, "<u2").astype("<u4")) for x in ids], pa.int64())]
-            yield pa.record_batch([*b.columns, *more], names=schema.names)
+            yield pa.record_batch([*(b[f.name] for f in kept), *more], names=schema.names)
 
     return encoded.mapInArrow(run, schema)

@@ -54,3 +54,21 @@ def test_without_labels_or_rows(spark, documents):
     from pyspark.sql import functions as F
 
     assert {r["lang_pred"] for r in langid.identify(spark, documents.limit(5).withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+def test_expected_counts_of_long_words():
+    """Equal to sums over all segmentations, and defined where a word's probability is below what a double holds."""
+    pieces, rng = ["", "a", "b", "ab", "▁"], np.random.default_rng(1)
+    model = langid.LanguageModel(["x"], pieces, rng.random((5, 1)) * 1e-3)
+    long = "▁" + "ab" * 400
+    got = model.expected([long], np.ones((1, 1)))[:, 0]
+    p = model.probs[:, 0]
+    share = p[3] / (p[3] + p[1] * p[2])  # each "ab" is one piece or two, apart from the others
+    assert np.allclose(got, [0, 400 * (1 - share), 400 * (1 - share), 400 * share, 1])
+
+
+def test_unlabelled_tables_are_kept(spark, documents):
+    from pyspark.sql import functions as F
+
+    docs = documents.limit(20).withColumn("lang", F.lit(None).cast("string")).unionByName(spark.createDataFrame([(10**6, "12 !", None, "s", 4), (10**6 + 1, None, None, "s", 0)], documents.schema))
+    assert langid.keep_identified(docs, langid.fit(docs)).count() == 20

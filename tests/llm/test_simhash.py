@@ -87,3 +87,15 @@ def test_empty_null_and_repeated_rows(spark):
     assert got == [(1, 1), (2, 1), (3, 3), (4, 3), (4, 3)]
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
     assert sorted(r["doc_id"] for r in simhash.keep_first(docs).collect()) == [1, 3]
+
+
+def test_rows_that_share_an_id_and_columns_named_like_ours(spark):
+    from stepfree.llm import jaccard
+
+    text = " ".join(f"w{i}" for i in range(200))
+    rows = [(1, text, 1, "a"), (2, text, 2, "b"), (2, "a text of its own, which is not like the other", 3, "c"), (None, text, 4, "d"), (3, None, 5, "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _gone int, gone string")
+    for keep in (simhash.keep_first, jaccard.keep_first):
+        got = keep(df)
+        assert got.columns == df.columns
+        assert sorted(r["_gone"] for r in got.collect()) == [1, 3, 4, 5], keep
