@@ -12,7 +12,8 @@ from stepfree.scratch import drop, materialize
 
 SHORT_LINK_M = 15.0  # slopes of shorter links are measurement noise and never block
 DERIVED_COST = 4.0
-LINK_TYPES = ("sidewalk", "road", "crossing", "steps", "ramp", "overpass", "underpass", "corridor", "unknown")
+# The types of links.
+LINK_TYPES = ("sidewalk", "road", "crossing", "steps", "overpass", "underpass", "ramp", "elevator", "unknown")
 
 
 @dataclass(frozen=True)

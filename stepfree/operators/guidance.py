@@ -17,7 +17,7 @@ from stepfree.functions.geo import bearing
 STRAIGHT, SLIGHT, TURN, SHARP = 20.0, 45.0, 120.0, 150.0
 CARRY_M, ABSORB_M, MERGE_M = 12.0, 8.0, 15.0
 LANDMARK_GAP_M, LANDMARK_WINDOW_M = 150.0, 60.0
-SPECIAL = ("crossing", "steps", "overpass", "underpass", "ramp")
+SPECIAL = ("crossing", "elevator", "ramp", "steps")
 
 
 def turn_between(before: float, after: float) -> float:
@@ -32,50 +32,54 @@ def maneuver(angle: float) -> str:
     return f"slight_{side}" if a < SLIGHT else side if a < TURN else f"sharp_{side}" if a < SHARP else "uturn"
 
 
-def fold_steps(lengths, bearings, kinds) -> list[tuple[str, str, float]]:
-    """(maneuver, kind, metres) of each step.
+def carried_maneuver(angle: float) -> str:
+    """The maneuver of turns summed over short links: beyond half a turn the sum keeps its side, unless it leads back."""
+    if abs(angle) <= 180:
+        return maneuver(angle)
+    if abs(turn_between(0.0, angle)) >= SHARP:
+        return "uturn"
+    return "sharp_right" if angle > 0 else "sharp_left"
 
-    Plain links that go on straight join the step before. The turn into a plain link under CARRY_M is added to the next
-    link's. Special links are steps of their own, unless they repeat; a plain step under ABSORB_M joins the one before, and
-    steps of one kind and no turn that are under MERGE_M join too.
+
+def fold_steps(lengths, leads, kinds, trails=None) -> list[tuple[str, str | None, float]]:
+    """(maneuver, kind, metres) of each step, from ``depart`` to ``arrive``.
+
+    leads and trails are the bearings where a link begins and ends; a link without trails is straight. Special links are steps
+    of their own, called by their kind, and announce no turn. A plain link under CARRY_M announces none either: its turn is added to
+    the next one's. A plain link that goes straight on joins the step before if that is of its kind, or if it is under ABSORB_M;
+    a special step takes up links under MERGE_M only.
     """
     steps: list[list] = []
-    before = carried = None
-    for length, b, kind in zip(lengths, bearings, kinds, strict=True):
-        angle = 0.0 if before is None else turn_between(before, b)
-        if carried is not None:
-            angle = turn_between(0.0, angle + carried)
+    before, carried = None, 0.0
+    for length, lead, trail, kind in zip(lengths, leads, leads if trails is None else trails, kinds, strict=True):
         special = kind in SPECIAL
-        if special:
-            carried = None
-        elif length < CARRY_M and before is not None:
-            carried = angle
-            if steps and steps[-1][1] not in SPECIAL:
-                steps[-1][2] += length
-                before = b
-                continue
+        if before is None:
+            move = "depart"
         else:
-            carried = None
-        move = "start" if before is None else maneuver(angle)
+            carried += turn_between(before, lead)
+            move = "straight" if special or length < CARRY_M else carried_maneuver(carried)
+            if special or length >= CARRY_M:
+                carried = 0.0
+        before = trail
         last = steps[-1] if steps else None
-        same = last is not None and last[1] == kind
-        if last is not None and (same and move == "straight" or same and special or not special and last[1] not in SPECIAL and length < ABSORB_M or same and move.startswith("slight") and length < MERGE_M):
+        joins = last is not None and move == "straight" and not special and (last[1] == kind or length < ABSORB_M) and (length < MERGE_M or last[1] not in SPECIAL)
+        if joins:
             last[2] += length
         else:
-            steps.append([move, kind, length])
-        before = b
-    return [tuple(s) for s in steps]
+            steps.append([kind if special else move, kind, length])
+    return [tuple(s) for s in steps] + ([("arrive", None, 0.0)] if steps else [])
 
 
 def steps(links: DataFrame, key: str = "trip") -> DataFrame:
-    """Steps of each route from its links (key, pos, length, bearing, link_type)."""
+    """Steps of each route from its links (key, pos, length, bearing, link_type, and trail, the bearing at its end, if it bends)."""
+    own = [key, "pos", "length", "bearing", "link_type", *(["trail"] if "trail" in links.columns else [])]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
-        rows = fold_steps(pdf["length"], pdf["bearing"], pdf["link_type"])
+        rows = fold_steps(pdf["length"], pdf["bearing"], pdf["link_type"], pdf.get("trail"))
         return pd.DataFrame([(pdf[key].iloc[0], i, *r) for i, r in enumerate(rows)], columns=[key, "idx", "maneuver", "link_type", "distance_m"])
 
-    return links.select(key, "pos", "length", "bearing", "link_type").groupBy(key).applyInPandas(run, f"{key} bigint, idx int, maneuver string, link_type string, distance_m double")
+    return links.select(*own).groupBy(key).applyInPandas(run, f"{key} bigint, idx int, maneuver string, link_type string, distance_m double")
 
 
 def with_bearings(path_links: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:

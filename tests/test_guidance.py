@@ -11,13 +11,26 @@ def test_maneuvers():
 
 
 def test_steps_fold():
-    f = guidance.fold_steps
-    assert f([50, 50], [0, 5], ["road", "road"]) == [("start", "road", 100)]
-    assert f([50, 50], [0, 90], ["road", "road"]) == [("start", "road", 50), ("right", "road", 50)]
+    def f(*a):
+        *steps, last = guidance.fold_steps(*a)
+        assert last == ("arrive", None, 0.0)
+        return steps
+
+    assert f([50, 50], [0, 5], ["road", "road"]) == [("depart", "road", 100)]
+    assert f([50, 50], [0, 90], ["road", "road"]) == [("depart", "road", 50), ("right", "road", 50)]
     # two bends of 45 degrees with a short link between are one turn
-    assert f([50, 6, 50], [0, 45, 90], ["road"] * 3) == [("start", "road", 56), ("right", "road", 50)]
-    assert f([50, 8, 8, 50], [0, 0, 0, 0], ["sidewalk", "crossing", "crossing", "sidewalk"]) == [("start", "sidewalk", 50), ("straight", "crossing", 16), ("straight", "sidewalk", 50)]
-    assert f([], [], []) == []
+    assert f([50, 6, 50], [0, 45, 90], ["road"] * 3) == [("depart", "road", 56), ("right", "road", 50)]
+    # two turns to the same side add up and keep their side; left and right cancel each other
+    assert f([50, 8, 50], [0, 120, 240], ["road"] * 3) == [("depart", "road", 58), ("sharp_right", "road", 50)]
+    assert f([50, 8, 50], [0, -120, -240], ["road"] * 3) == [("depart", "road", 58), ("sharp_left", "road", 50)]
+    assert f([50, 8, 50], [0, 90, 0], ["road"] * 3) == [("depart", "road", 108)]
+    assert f([50, 8, 50], [0, 100, 200], ["road"] * 3) == [("depart", "road", 58), ("uturn", "road", 50)]
+    # special links are steps of their own and announce no turn; short links behind them join
+    assert f([50, 8, 8, 50], [0, 0, 0, 0], ["sidewalk", "crossing", "crossing", "sidewalk"]) == [("depart", "sidewalk", 50), ("crossing", "crossing", 8), ("crossing", "crossing", 8), ("straight", "sidewalk", 50)]
+    assert f([50, 20, 4, 20, 50], [0, 90, 90, 90, 180], ["sidewalk", "crossing", "sidewalk", "elevator", "underpass"]) == [("depart", "sidewalk", 50), ("crossing", "crossing", 24), ("elevator", "elevator", 20), ("right", "underpass", 50)]
+    # a link that bends is left in the direction of its end
+    assert f([50, 50], [0, 90], ["road"] * 2, [90, 90]) == [("depart", "road", 100)]
+    assert guidance.fold_steps([], [], []) == []
 
 
 def test_steps_cover_the_route(spark):
@@ -52,3 +65,86 @@ def test_turning_back_is_avoided_where_there_is_another_way(spark):
     walk = graph.PROFILES["walk"]
     assert routing.plan(edges, trips, walk).first()["path"] == [1, 2, 3]
     assert routing.plan(edges, trips, walk, nodes=nodes).first()["path"] == [1, 4, 5, 3]
+
+
+def all_paths(links, start, goal, seen=()):
+    """Every path without repeated nodes, as a list of links."""
+    if start == goal:
+        yield []
+    for e, (u, v) in enumerate(links):
+        for a, b in ((u, v), (v, u)):
+            if a == start and b not in seen and b != start:
+                for rest in all_paths(links, b, goal, (*seen, start)):
+                    yield [e, *rest]
+
+
+def test_alternatives_and_turns_equal_search_of_all_paths(spark):
+    rng = random.Random(12)
+    schema = "u long, v long, length double, slope double, link_type string, width double, curb_cut boolean, link_name string, topo_source string, confidence double"
+    walk = graph.PROFILES["walk"]
+    turned = 0
+    for round_ in range(4):
+        links = sorted({tuple(sorted(rng.sample(range(7), 2))) for _ in range(12)})
+        at = {i: (37 + rng.random() / 1000, 127 + rng.random() / 1000) for i in range(7)}
+        rows = [(u, v, 20 + 100 * rng.random(), 0.0, "sidewalk", 2.0, True, "x", None, None) for u, v in links]
+        edges = spark.createDataFrame(rows, schema)
+        nodes = spark.createDataFrame([(i, *p) for i, p in at.items()], "node_id long, lat double, lng double")
+        weight = {(r["u"], r["v"]): r["c"] for r in edges.select("u", "v", graph.cost(walk).alias("c")).collect()}
+        trips = [(10 * a + b, a, b) for a in range(7) for b in range(7)] + [(99, None, 1)]
+        df = spark.createDataFrame(trips, "trip long, start long, goal long")
+
+        def cheapest(paths, extra):
+            return min(paths, key=lambda p: sum(weight[links[e]] * (2.5 if e in extra else 1) for e in p), default=None)
+
+        def nodes_of(start, path):
+            out = [start]
+            for e in path:
+                u, v = links[e]
+                out.append(v if out[-1] == u else u)
+            return out
+
+        def turns(start, path):
+            p = nodes_of(start, path)
+            h = [routing.heading(*at[a], *at[b]) for a, b in zip(p, p[1:], strict=False)]
+            return {e for i in range(1, len(h)) if abs(guidance.turn_between(h[i - 1], h[i])) >= 150 for e in (path[i - 1], path[i])}
+
+        want, straight = {}, {}
+        for trip, a, b in trips[:-1]:
+            paths = list(all_paths(links, a, b)) if a != b else []
+            if not paths:
+                continue
+            own, used = [cheapest(paths, ())], set()
+            while len(own) < 3:
+                used |= set(own[-1])
+                new = cheapest(paths, used)
+                if new in own:
+                    break
+                own.append(new)
+            want |= {(trip, i): nodes_of(a, p) for i, p in enumerate(own)}
+            best, extra = own[0], set()
+            for _ in range(3):
+                if not turns(a, best):
+                    break
+                extra |= turns(a, best)
+                new = cheapest(paths, extra)
+                if new == best or len(turns(a, new)) >= len(turns(a, best)):
+                    break
+                best = new
+            straight[trip] = nodes_of(a, best)
+            turned += best != own[0]
+        assert {(r["trip"], r["alternative"]): r["path"] for r in routing.plan(edges, df, walk, 3).collect()} == want
+        assert {r["trip"]: r["path"] for r in routing.plan(edges, df, walk, nodes=nodes).collect()} == straight
+    assert turned
+
+
+def test_summary(spark):
+    schema = "u long, v long, length double, slope double, link_type string, curb_cut boolean"
+    edges = spark.createDataFrame([(1, 2, 100.0, 2.0, "sidewalk", None), (2, 3, 20.0, 1.0, "crossing", False), (3, 4, 30.0, 6.0, "ramp", None), (4, 5, 10.0, 0.0, "elevator", None)], schema)
+    routes = spark.createDataFrame([(1, 0, [1, 2, 3]), (2, 0, [5, 4, 3, 2]), (3, 0, [1, 2])], "trip long, alternative int, path array<long>")
+    p = graph.PROFILES["wheelchair_manual"]  # 4 degrees, 0.7 m/s
+    got = {r["trip"]: r for r in routing.summary(routes, edges, p).collect()}
+    assert round(got[1]["score"], 6) == round(0.6 * (1 - 2 / 4) + 0.4 - 0.05, 6) and got[1]["warnings"] == 1 and got[1]["crossings"] == 1
+    assert round(got[1]["duration_s"], 6) == round(120 / 0.7, 6)
+    assert round(got[2]["score"], 6) == round(0.4 - 0.1, 6) and (got[2]["ramps"], got[2]["elevators"], got[2]["warnings"]) == (1, 1, 2)
+    poor = {r["trip"]: r for r in routing.summary(routes, edges, p, 0.2).collect()}
+    assert round(got[3]["score"], 6) == 0.7 and poor[3]["score"] == 0.6 and poor[3]["warnings"] == 1
