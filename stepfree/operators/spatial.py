@@ -15,8 +15,8 @@ def cell_degrees(radius_m: float, lat_limit: float = 60.0) -> tuple[float, float
     return radius_m * 1.01 / 110_540, radius_m * 1.01 / (111_320 * math.cos(math.radians(lat_limit)))
 
 
-def with_cell(df: DataFrame, lat: str, lng: str, radius_m: float) -> DataFrame:
-    h, w = cell_degrees(radius_m)
+def with_cell(df: DataFrame, lat: str, lng: str, radius_m: float, lat_limit: float = 60.0) -> DataFrame:
+    h, w = cell_degrees(radius_m, lat_limit)
     return df.withColumns({"cell_y": F.floor(F.col(lat) / h), "cell_x": F.floor(F.col(lng) / w)})
 
 
@@ -44,22 +44,38 @@ def nearest_join(left: DataFrame, right: DataFrame, radius_m: float, key: list,
     return top_k(radius_join(left, right, radius_m, distance, **at), key, [F.col(distance), *tie], 1).drop("rank")
 
 
-def segment_cells(segments: DataFrame, radius_m: float, ends=("lat1", "lng1", "lat2", "lng2")) -> DataFrame:
+def segment_cells(segments: DataFrame, radius_m: float, ends=("lat1", "lng1", "lat2", "lng2"), lat_limit: float = 60.0) -> DataFrame:
     """One row for each cell that the segment's box, widened by the radius, touches."""
-    h, w = cell_degrees(radius_m)
+    h, w = cell_degrees(radius_m, lat_limit)
     lat1, lng1, lat2, lng2 = map(F.col, ends)
     ys = F.sequence(F.floor(F.least(lat1, lat2) / h) - 1, F.floor(F.greatest(lat1, lat2) / h) + 1)
     xs = F.sequence(F.floor(F.least(lng1, lng2) / w) - 1, F.floor(F.greatest(lng1, lng2) / w) + 1)
     return segments.withColumn("cell_y", F.explode(ys)).withColumn("cell_x", F.explode(xs))
 
 
-def segment_join(points: DataFrame, segments: DataFrame, radius_m: float, distance: str = "dist_m", at=("lat", "lng"), ends=("lat1", "lng1", "lat2", "lng2"), at_point: bool = False) -> DataFrame:
-    """Every pair of a point and a segment within the radius; at_point takes the plane at the point's latitude."""
-    pairs = with_cell(points, *at, radius_m).join(segment_cells(segments, radius_m, ends), ["cell_y", "cell_x"]).drop("cell_y", "cell_x")
+def segment_join(points: DataFrame, segments: DataFrame, radius_m: float, distance: str = "dist_m", at=("lat", "lng"), ends=("lat1", "lng1", "lat2", "lng2"), at_point: bool = False, lat_limit: float = 60.0) -> DataFrame:
+    """Every pair of a point and a segment within the radius; at_point takes the plane at the point's latitude.
+
+    lat_limit bounds the latitudes: the closer it is to theirs, the fewer rows meet in a cell for nothing.
+    """
+    pairs = with_cell(points, *at, radius_m, lat_limit).join(segment_cells(segments, radius_m, ends, lat_limit), ["cell_y", "cell_x"]).drop("cell_y", "cell_x")
     d = segment_distance(*map(F.col, at), *map(F.col, ends), lat0=F.col(at[0]) if at_point else None)
     return pairs.withColumn(distance, d).where(F.col(distance) <= radius_m)
 
 
+def nearest_segments(points: DataFrame, segments: DataFrame, radius_m: float, order: list, k: int = 1, within: str | None = None, at=("lat", "lng"), rank: str = "rank", **how) -> DataFrame:
+    """The k segments within the radius that come first for each point, by ``order``; points without any are absent.
+
+    Points at one place, with one value of ``within`` (a radius of their own), share a search, so crowds cost no more than a
+    single point.
+    """
+    place = [*at, *([within] if within else [])]
+    pairs = segment_join(points.select(*place).dropna().distinct(), segments, radius_m, at=at, **how)
+    if within:
+        pairs = pairs.where(F.col("dist_m") <= F.col(within))
+    return points.join(top_k(pairs, place, order, k, rank), place)
+
+
 def in_box(lat: Column, lng: Column, lat0: float, lng0: float, radius_m: float) -> Column:
     """A box that holds the radius, as a filter that scans can use."""
     h, w = cell_degrees(radius_m, abs(lat0) + 1)

@@ -9,6 +9,8 @@ from stepfree.operators import graph, routing, spatial
 
 from .base import hav, query, seg
 
+#: The network lies nearer to the equator than this.
+LAT_LIMIT = 45.0
 MANUAL, WALK = graph.PROFILES["wheelchair_manual"], graph.PROFILES["walk"]
 
 
@@ -128,8 +130,9 @@ def _nearest_edge(d):
     """Each override's nearest link within its own radius; of equal ones the later link."""
     grid = lambda base, a, n, step: F.lit(base) + (F.col("event_id") * a % n) * F.lit(step)
     points = d.events.select(F.col("event_id").alias("override_id"), grid(37.30, 31, 200, 0.00005).alias("lat"), grid(126.80, 17, 200, 0.00004).alias("lng"), (10 + F.col("event_id") % 3 * 5).cast("double").alias("radius_m"), F.col("event_type").alias("attr"))
-    near = spatial.segment_join(points, _segments(d).select("u", "v", "lat1", "lng1", "lat2", "lng2"), 20).where("dist_m <= radius_m")
-    return spatial.top_k(near, ["override_id"], [F.round("dist_m", 6), F.desc("u"), F.desc("v")], 1).select("override_id", "attr", "u", "v", F.round("dist_m", 3).alias("dist_m"))
+    links = _segments(d).select("u", "v", "lat1", "lng1", "lat2", "lng2")
+    near = spatial.nearest_segments(points, links, 20, [F.round("dist_m", 6), F.desc("u"), F.desc("v")], within="radius_m", lat_limit=LAT_LIMIT)
+    return near.select("override_id", "attr", "u", "v", F.round("dist_m", 3).alias("dist_m"))
 
 
 @query(f"SELECT override_id, u, v, dist_m FROM ({_NEAREST})")
@@ -156,8 +159,8 @@ def _walkers(d):
 def jn11_edge_projection(d):
     """The three nearest usable links within 60 m of every origin, to start a route on."""
     links = _segments(d).where(~F.col("link_type").isin("crossing", "steps") & graph.passable(d.edge, MANUAL)).select("u", "v", "lat1", "lng1", "lat2", "lng2")
-    near = spatial.segment_join(_walkers(d), links, 60, at_point=True)
-    return spatial.top_k(near, ["id"], [F.round("dist_m", 6), "u", "v"], 3).select("id", "u", "v", F.round("dist_m", 3).alias("dist_m"), "rank")
+    near = spatial.nearest_segments(_walkers(d), links, 60, [F.round("dist_m", 6), "u", "v"], 3, at_point=True, lat_limit=LAT_LIMIT)
+    return near.select("id", "u", "v", F.round("dist_m", 3).alias("dist_m"), "rank")
 
 
 _NH = hav("o.lat", "o.lng", "n.lat", "n.lng")
@@ -242,6 +245,6 @@ def gr08_virtual_nodes(d):
     from stepfree.operators import virtual
 
     links = _segments(d).where(~F.col("link_type").isin("crossing", "steps") & graph.passable(d.edge, MANUAL)).select("u", "v", "lat1", "lng1", "lat2", "lng2", "length", "slope")
-    near = spatial.segment_join(_walkers(d), links.drop("length", "slope"), 60, at_point=True)
-    first = spatial.top_k(near, ["id"], [F.round("dist_m", 6), "u", "v"], 1).select("id", "lat", "lng", "u", "v")
+    near = spatial.nearest_segments(_walkers(d), links.drop("length", "slope"), 60, [F.round("dist_m", 6), "u", "v"], at_point=True, lat_limit=LAT_LIMIT)
+    first = near.select("id", "lat", "lng", "u", "v")
     return virtual.attach(first, links)[1].select("id", "end", F.round("length", 4).alias("length"), "orig_length", "slope")

@@ -74,10 +74,20 @@ def tr01_candidates(d):
     a = spatial.radius_join(o, stops("board"), 2500, "walk_a").select("trip", "board", "walk_a")
     b = spatial.radius_join(t, stops("alight"), 2500, "walk_b").select("trip", "alight", "walk_b")
     target = t.select("trip", F.col("lat").alias("t_lat"), F.col("lng").alias("t_lng"))
-    rides = _pairs(d).where(F.col("stops") <= F.greatest(F.lit(8), F.ceil(F.col("straight") / 300 * 2.5)))
-    c = a.join(b, "trip").join(rides, ["board", "alight"]).join(target, "trip")
-    c = c.where(F.col("walk_b") < geo.haversine(F.col("lat1"), F.col("lng1"), F.col("t_lat"), F.col("t_lng")))
-    c = c.withColumn("score", F.col("walk_a") * 1.35 + F.col("walk_b") * 1.35 + F.col("stops") * 150 + 250)
+    rides = _pairs(d).where(F.col("stops") <= F.greatest(F.lit(8), F.ceil(F.col("straight") / 300 * 2.5))).select("board", "alight", "route_id", "stops", "lat1", "lng1")
+
+    def scored(pairs):
+        c = pairs.join(rides, ["board", "alight"]).join(target, "trip")
+        c = c.where(F.col("walk_b") < geo.haversine(F.col("lat1"), F.col("lng1"), F.col("t_lat"), F.col("t_lng")))
+        return c.withColumn("score", F.col("walk_a") * 1.35 + F.col("walk_b") * 1.35 + F.col("stops") * 150 + 250)
+
+    # eight rides between the closest stops bound the score of the eight best; where there are fewer, nothing is left out
+    few = scored(spatial.top_k(a, ["trip"], ["walk_a", "board"], 8).join(spatial.top_k(b, ["trip"], ["walk_b", "alight"], 8).drop("rank"), "trip").drop("rank"))
+    bound = spatial.top_k(few, ["trip"], ["score"], 8).groupBy("trip").agg(F.when(F.count("*") == 8, F.max("score") + 0.001).alias("bound"))
+    least = b.groupBy("trip").agg(F.min("walk_b").alias("least_b")).join(bound, "trip", "left")
+    possible = lambda m: F.col("bound").isNull() | ((F.col("walk_a") + F.col(m)) * 1.35 + 400 <= F.col("bound"))
+    near = a.join(least, "trip").where(possible("least_b"))
+    c = scored(near.join(b, "trip").where(possible("walk_b")).select("trip", "board", "alight", "walk_a", "walk_b"))
     return spatial.top_k(c, ["trip"], [F.round("score", 4), "board", "alight", "route_id"], 8).select("trip", "board", "alight", "route_id", F.round("score", 2).alias("score"), "rank")
 
 
