@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..scratch import drop, materialize, scratch_path, scratch_root  # noqa: F401
 
 
-def bounded_batches(spark: SparkSession, rows: int = 2000, size: int = 1 << 25) -> None:
+def bounded_batches(spark: SparkSession, rows: int = 1000, size: int = 1 << 24) -> None:
     """Texts and vectors are long, so a batch sent to Python holds at most so many rows and bytes, unless the user set a number."""
     for key, plain, own in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", None, size)):
         if spark.conf.get(key, plain) == plain:
@@ -178,7 +178,7 @@ class WordBpeEncoder:
 
     def __init__(self, path: str):
         self.tokenizer = load_tokenizer(path)
-        self.model, self.words = self.tokenizer.model, WordCache(self._word)
+        self.model, self.words = self.tokenizer.model, WordCache(self._word, 300_000)
 
     def _word(self, word: str) -> bytes:
         if word.isascii() and word != (low := word.lower()):

@@ -45,12 +45,12 @@ from .components import salted_join
 LEAST_WORDS = PASSAGE_WORDS = 50
 #: Texts of the sample that tells hot fingerprints, in how many of them such a one is, how many there are at most, and over how many
 #: tasks each is dealt.
-SAMPLE, OFTEN, HOT, SALTS = 4000, 8, 1 << 16, 16
+SAMPLE, OFTEN, HOT, SALTS = 4000, 40, 1 << 16, 16
 _SLOTS = 1 << 22
 _WORD = re.compile(r"[^ \t-\r]+")
 _FACTOR = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93))
 #: A batch's texts are hashed in parts of so many bytes; places within one take PLACE bits.
-_PART, PLACE = 1 << 22, 28
+_PART, PLACE = 1 << 18, 28
 
 
 def _finish(h: np.ndarray) -> np.ndarray:
@@ -271,9 +271,9 @@ def later_passages(docs: DataFrame, passage: int = PASSAGE_WORDS, text="text", d
             salt = np.where(_among(h[place].view(np.int64), hot), 1 + _finish(d.view(np.uint64)) % np.uint64(SALTS), 0).astype(np.int64)
             yield pa.record_batch({"k1": k1.view(np.int64), "p": p.view(np.int64), "d": d, "h": b["h"].to_numpy()[text], "salt": salt})
 
-    # p: 31 more bits of the hash, and the word
+    # p: 31 more bits of the hash, and the word. The join shuffles, as else a task would hold a Python worker on either side of it
     order = ["k1", F.shiftright("p", 32), "salt", "d", "p", "h"]
-    stretches = rows.mapInArrow(likely, "d bigint, h bigint, t string").join(marks, ["d", "h"]).select("d", "h", "t", "at").mapInArrow(stretch, "k1 bigint, p bigint, d bigint, h bigint, salt bigint")
+    stretches = rows.mapInArrow(likely, "d bigint, h bigint, t string").join(marks.hint("merge"), ["d", "h"]).select("d", "h", "t", "at").mapInArrow(stretch, "k1 bigint, p bigint, d bigint, h bigint, salt bigint")
     later = stretches.repartition("k1", "salt").sortWithinPartitions(*order).mapInArrow(_later(passage), "d bigint, h bigint, run bigint, k1 bigint, p bigint")
     if len(hot):
         later = materialize(later, "passages-later")
