@@ -89,6 +89,29 @@ def _spelled(word: str) -> str:
 _TAIL = string.punctuation.replace("'", "")
 
 
+def laid_out(words: pa.Array, ids_of, skip: int = 0) -> tuple[list[bytes], list[int]]:
+    """For lists of words: the words' ids end to end, less the first ``skip``, and which lists have a word without ids (None).
+
+    Each distinct word is looked up once.
+    """
+    coded = words.flatten().dictionary_encode()
+    index, docs = coded.indices.to_numpy(), np.append(0, np.cumsum(pc.list_value_length(words).to_numpy()))
+    ids = list(map(ids_of, coded.dictionary.to_numpy(zero_copy_only=False)))
+    del words, coded
+    apart = np.fromiter((x is not None for x in ids), bool, len(ids))
+    ids = [x or b"" for x in ids]
+    sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
+    starts = np.cumsum(sizes) - sizes
+    bad = np.append(0, np.cumsum(~apart[index]))[docs]
+    sizes = sizes[index]
+    ends = np.append(0, np.cumsum(sizes))
+    at = np.repeat((starts[index] - ends[:-1]).astype(np.int32), sizes)
+    at += np.arange(ends[-1], dtype=np.int32)
+    out = np.frombuffer(b"".join(ids), np.uint16)[at]
+    cuts = ends[docs].tolist()
+    return [out[a + skip : z].tobytes() for a, z in zip(cuts[:-1], cuts[1:], strict=True)], np.flatnonzero(bad[1:] > bad[:-1]).tolist()
+
+
 class ByteBpeEncoder:
     """Ids of a byte-level BPE whose pre-tokens take one leading space: equal to encoding the whole text at once.
 
@@ -129,23 +152,8 @@ class ByteBpeEncoder:
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         feed, none = pa.scalar("\n", texts.type), pa.scalar("", texts.type)
         words = pc.split_pattern(pc.binary_join_element_wise(feed, pc.replace_substring(texts, "\n", " \n"), none), " ")
-        coded = words.flatten().dictionary_encode()
-        index, docs = coded.indices.to_numpy(), np.append(0, np.cumsum(pc.list_value_length(words).to_numpy()))
-        ids = list(map(self.words.__getitem__, coded.dictionary.to_numpy(zero_copy_only=False)))
-        del words, coded
-        apart = np.fromiter((x is not None for x in ids), bool, len(ids))
-        ids = [x or b"" for x in ids]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
-        starts = np.cumsum(sizes) - sizes
-        bad = np.append(0, np.cumsum(~apart[index]))[docs]
-        sizes = sizes[index]
-        ends = np.append(0, np.cumsum(sizes))
-        at = np.repeat((starts[index] - ends[:-1]).astype(np.int32), sizes)
-        at += np.arange(ends[-1], dtype=np.int32)
-        out = np.frombuffer(b"".join(ids), np.uint16)[at]
-        cuts = ends[docs].tolist()
-        got = [out[a + 1 : z].tobytes() for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
-        for i in np.flatnonzero(bad[1:] > bad[:-1]).tolist():
+        got, bad = laid_out(words, self.words.__getitem__, skip=1)
+        for i in bad:
             got[i] = self._odd(texts[i].as_py()) if texts[i].as_py() else b""
         return got
 
@@ -168,28 +176,40 @@ def chunks(batches, column: str, size: int = 1 << 24):
 
 
 @functools.cache
-def shared_encoder(kind: type, path: str):
+def shared_encoder(kind: type, path: str, limit: int):
     """One encoder for all tasks of a worker process, so that its words are looked up once."""
-    return kind(path)
+    return kind(path, limit)
 
 
 class WordBpeEncoder:
     """Ids of a BPE that drops white space, so every word can be encoded apart: equal to encoding the whole text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, limit: int = 1_000_000):
         self.tokenizer = load_tokenizer(path)
-        self.model, self.words = self.tokenizer.model, WordCache(self._word, 300_000)
+        self.tokenize, self.words = self.tokenizer.model.tokenize, WordCache(self._word, limit)
 
     def _word(self, word: str) -> bytes:
-        if word.isascii() and word != (low := word.lower()):
-            return self.words[low]  # the tokenizer lower-cases
-        if len(own := word.rstrip(_TAIL)) < len(word) and own.isalpha():
-            return self.words[own] + self.words[word[len(own) :]]
-        if word.isalpha() and word == word.lower() and unicodedata.is_normalized("NFC", word):  # one pre-token, nothing to clean
-            return np.array([t.id for t in self.model.tokenize(_spelled(word))], np.uint16).tobytes()
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, np.uint16).tobytes()
+        own = word.rstrip(_TAIL)
+        if own.isalpha():  # one pre-token, and what follows is another
+            if own.isascii():
+                ids = self.words[low] if (low := own.lower()) != word and (low in self.words or len(own) < len(word)) else self._model(low)
+            elif own == own.lower() and unicodedata.is_normalized("NFC", own):  # nothing to clean
+                ids = self._model(_spelled(own))
+            else:
+                ids = self._ids(own)
+            return ids + self.words[word[len(own) :]] if len(own) < len(word) else ids
+        return self._ids(word)
+
+    def _model(self, spelled: str) -> bytes:
+        return array("H", [t.id for t in self.tokenize(spelled)]).tobytes()
+
+    def _ids(self, word: str) -> bytes:
+        return array("H", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def encode_column(self, texts: pa.Array) -> list[bytes]:
+        """Little-endian unsigned 16-bit ids of each text; null is empty."""
+        words = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+        return laid_out(words, self.words.__getitem__)[0]
 
     def encode(self, text: str) -> bytes:
-        if any(map(text.__contains__, "\x1c\x1d\x1e\x1f")):  # Python takes these for white space, the tokenizer does not
-            return b"".join(map(self.words.__getitem__, text.split(" ")))
-        return b"".join(map(self.words.__getitem__, text.split()))
+        return self.encode_column(pa.array([text]))[0]

@@ -19,9 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordBpeEncoder, bounded_batches, materialize, shared_encoder, tokenizer_path
+from .common import WordBpeEncoder, bounded_batches, chunks, materialize, shared_encoder, tokenizer_path
 
 SIZE, END = 4096, 2
+#: Words whose ids a worker keeps at most; about 200 bytes each.
+WORDS = 1_000_000
 DIMENSIONS, GRID_BITS = 4, 8
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
@@ -80,15 +82,15 @@ def curve_keys(vectors: np.ndarray, bits: int = GRID_BITS) -> np.ndarray:
     return hilbert(np.clip(cells, 0, (1 << bits) - 1), bits)
 
 
-def tokenized(docs: DataFrame, tokenizer: str, end: int = END, text="text", doc_id="doc_id") -> DataFrame:
+def tokenized(docs: DataFrame, tokenizer: str, end: int = END, text="text", doc_id="doc_id", words: int = WORDS) -> DataFrame:
     """doc_id, key, n and ids (little-endian unsigned 16-bit, with the end id) of each document."""
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("t"))
 
     def run(batches):
-        encoder, signs, stop = shared_encoder(WordBpeEncoder, tokenizer), packed_directions(), np.array([end], np.uint16).tobytes()
-        for b in batches:
-            ids = [encoder.encode(t or "") + stop for t in b["t"].to_pylist()]
+        encoder, signs, stop = shared_encoder(WordBpeEncoder, tokenizer, words), packed_directions(), np.array([end], np.uint16).tobytes()
+        for b in chunks(batches, "t"):
+            ids = [x + stop for x in encoder.encode_column(b["t"])]
             sizes = np.array([len(x) // 2 for x in ids], np.int64)
             vectors = np.zeros((len(ids), DIMENSIONS))
             for i, x in enumerate(ids):
@@ -145,10 +147,10 @@ def _pack(size: int):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE, end: int = END, text="text", doc_id="doc_id") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE, end: int = END, text="text", doc_id="doc_id", words: int = WORDS) -> DataFrame:
     """One row for each piece of a document, saying which ids it has and where it lies."""
     spark = docs.sparkSession
-    ids = materialize(tokenized(docs, tokenizer or tokenizer_path("word_bpe_49k.json"), end, text, doc_id), "packing-ids")
+    ids = materialize(tokenized(docs, tokenizer or tokenizer_path("word_bpe_49k.json"), end, text, doc_id, words), "packing-ids")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ordered = ids.repartitionByRange(parts, "key", "doc_id").sortWithinPartitions("key", "doc_id")
     return ordered.select("doc_id", "n", "ids").mapInArrow(_pack(size), SCHEMA)

@@ -24,6 +24,8 @@ from . import jvm
 from .common import ByteBpeEncoder, bounded_batches, chunks, shared_encoder, tokenizer_path
 
 BLOCK, END = 1 << 16, 0
+#: Words whose ids a worker keeps at most; about 200 bytes each.
+WORDS = 900_000
 #: Blocks that one batch brings to the coder: 2 MB of ids.
 _TOGETHER = 16
 
@@ -66,7 +68,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end:
     def run(batches):
         from pyspark import TaskContext
 
-        number, encoder, stop = TaskContext.get().partitionId(), shared_encoder(ByteBpeEncoder, tokenizer), np.array([end], np.uint16).tobytes()
+        number, encoder, stop = TaskContext.get().partitionId(), shared_encoder(ByteBpeEncoder, tokenizer, WORDS), np.array([end], np.uint16).tobytes()
         blocks, done, place, doc_number = [], 0, 0, 0
         ids, members, size = [], [], 0
 
