@@ -22,7 +22,7 @@ def match_rank(query: Column, name: Column) -> Column:
 
 
 def company_key(name: Column) -> Column:
-    return name_key(F.regexp_replace(F.coalesce(name, F.lit("")), "㈜|\\(주\\)|주식회사", ""))
+    return name_key(F.regexp_replace(F.coalesce(name, F.lit("")), "㈜|\\(주\\)|주식회사|안양", ""))
 
 
 def toilet_key(name: Column) -> Column:
@@ -81,3 +81,17 @@ def station_key(x: Column) -> Column:
 def split_node_id(a: Column, b: Column) -> Column:
     """Id of a node made by splitting a link: of its ends in string order."""
     return F.concat(F.lit("S"), F.substring(F.sha1(F.concat_ws("|", F.least(a, b), F.greatest(a, b))), 1, 15))
+
+
+def car_door(x: Column) -> Column:
+    """Car and door of a platform place like ``3-2 출입문``; null if there is none."""
+    pattern = r"(\d{1,2})-(\d) 출입문"
+    return F.when(x.rlike(pattern), F.struct(F.regexp_extract(x, pattern, 1).cast("int").alias("car"), F.regexp_extract(x, pattern, 2).cast("int").alias("door")))
+
+
+def oriented(line: Column, start: Column) -> Column:
+    """A line of points (lat, lng, ...) as it is walked from the start: reversed if its last point is closer."""
+    from .geo import haversine
+
+    away = lambda p: haversine(p["lat"], p["lng"], start["lat"], start["lng"])
+    return F.when(away(F.element_at(line, -1)) < away(F.element_at(line, 1)), F.reverse(line)).otherwise(line)
