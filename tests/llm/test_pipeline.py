@@ -44,3 +44,12 @@ def test_run_packs_every_id_once(spark):
 
 def test_every_operator_has_one_query():
     assert sorted(int(k[2:].split("_")[0]) for k in queries.queries()) == list(range(1, 11))
+
+
+def test_empty_and_odd_rows_pass_all_stages(spark, documents):
+    odd = [(None, "words without an id", None, None, None), (7, None, None, None, None), (8, "12 34", "en", "s", 5), (9, "the same words", None, "s", 14), (9, "the same words", None, "s", 14), (10, "the same words", None, "s", 14)]
+    for rows, want in (([], set()), (odd, {9})):
+        docs = spark.createDataFrame(rows, documents.schema)
+        for name, stage in corpus_pipeline.STAGES:
+            docs = corpus_pipeline.materialize(stage(spark, docs, SF), f"test-{name}")
+        assert {r["doc_id"] for r in docs.collect()} - {None} == want
