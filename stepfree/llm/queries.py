@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import htmltext, langid, linededup, packing, postings, rpforest, simhash, tokencoder, urlfilter, viterbi
+from . import htmltext, langid, linededup, packing, postings, rpforest, simhash, tokencoder, urlfilter, viterbi, wordruns
 from .common import scratch_path
+from .oracles import OP13
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,10 +61,30 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def _planted(text, doc_id):
+    """The text, in which every tenth document's words from a on repeat with a period p, as the contract of op13 says."""
+    words = F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), "")
+    n, h = F.size(words), F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    a = (g % n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    base = F.slice(words, a + 1, p)
+    repeated = F.slice(F.concat(F.slice(words, F.lit(1), a), F.flatten(F.array_repeat(base, F.ceil((n - a) / p).cast("int")))), F.lit(1), n)
+    return F.when((h % 10 == 0) & (n > 0), F.array_join(repeated, " ")).otherwise(text)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = wordruns.find_runs(docs.select("doc_id", _planted(docs["text"], docs["doc_id"]).alias("text")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    found = found.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), wordruns.longest(F.col("runs")).alias("best"), F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+    return found.select("doc_id", "n_runs", "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 def queries() -> dict:
-    own = (op1_language_id, op2_html_text, op3_url_filter, op4_embedding_near_dedup, op5_line_dedup, op6_simhash_near_dedup, op7_nearest_neighbours, op8_token_output, op9_subword_encoding, op10_packing)
+    own = (op1_language_id, op2_html_text, op3_url_filter, op4_embedding_near_dedup, op5_line_dedup, op6_simhash_near_dedup, op7_nearest_neighbours, op8_token_output, op9_subword_encoding, op10_packing, op13_periodic_runs)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op13_periodic_runs": OP13}
