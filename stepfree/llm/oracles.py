@@ -1,5 +1,23 @@
 """SQL for DuckDB that gives the rows of those operators' queries that SQL can express."""
 
+#: A-Z is lowered by translate, as lower() changes other letters too. Windows of items meet those of documents by their words joined
+#: by spaces, which no word holds.
+OP12 = r"""
+with cut as (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+items as (
+    select coalesce(item_id::varchar, '') as item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+sizes as (select distinct least(len(w), 10) as k from items where len(w) > 0),
+starts as (select item, w, least(len(w), 10) as k, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as i from items where len(w) > 0),
+windows as (select distinct item, k, array_to_string(w[i:i + k - 1], ' ') as win from starts),
+places as (select doc_id, w, k, unnest(range(1, len(w) - k + 2)) as i from cut, sizes where len(w) >= k),
+met as (select p.doc_id, p.i, p.k, item from places p join windows x on p.k = x.k and array_to_string(p.w[p.i:p.i + p.k - 1], ' ') = x.win),
+hit as (select doc_id, count(distinct j) as n_hit from (select doc_id, unnest(range(i, i + k)) as j from met) group by doc_id),
+named as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as ids from (select distinct doc_id, item from met) group by doc_id)
+select c.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from cut c left join hit on c.doc_id = hit.doc_id left join named on c.doc_id = named.doc_id
+"""
+
 #: CRC-32 of each doc_id's decimal digits, by its table of 256 remainders; then the words, planted runs of equal words at each
 #: distance, and what is left of the words.
 OP13 = r"""
