@@ -1,5 +1,32 @@
 """SQL for DuckDB that gives the rows of those operators' queries that SQL can express."""
 
+#: Whole numbers of 128 bits; division of such that are not negative rounds down.
+OP11 = r"""
+with docs as (select row_number() over () as id, coalesce(text, '') as text, coalesce(lang, '') as lang, coalesce(source, '') as source from documents),
+words as (
+    select id, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from docs),
+kept as (select lang, term, count(*)::hugeint as total from words group by lang, term having count(distinct id) >= 3),
+counts as (select lang, source, term, count(*)::hugeint as n from words semi join kept using (lang, term) group by lang, source, term),
+langs as (select lang, count(*)::hugeint as v, sum(total)::hugeint as n_lang from kept group by lang),
+sums as (select lang, source, sum(n)::hugeint as n_group from counts group by lang, source),
+groups as (
+    select g.lang, g.source, coalesce(n_group, 0) as n_group, v, n_lang
+    from (select distinct lang, source from docs) g left join langs on g.lang = langs.lang left join sums on g.lang = sums.lang and g.source = sums.source),
+chances as (
+    select g.lang, g.source, k.term, coalesce(c.n, 0) as n, 1 + 1000000000 * (coalesce(c.n, 0) + 1) // (n_group + v) as p, 1 + 1000000000 * (total + 1) // (n_lang + v) as q
+    from groups g join kept k on g.lang = k.lang left join counts c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+sides as (select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // b.p) as value from chances a join chances b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by a.lang, a.source, b.source),
+distances as (
+    select a.lang, a.source, b.source as item, coalesce(value, 0) as value
+    from groups a join groups b on a.lang = b.lang and a.source <> b.source left join sides s on s.lang = a.lang and s.source = a.source and s.item = b.source),
+telling as (select lang, source, term as item, (p - q) * (p - q) // q as value from chances where n > 0 and p > q),
+ranked as (
+    select lang, source, 'pair' as part, item, value, row_number() over (partition by lang, source order by value desc, item) as rank from distances
+    union all
+    (select lang, source, 'term', item, value, row_number() over (partition by lang, source order by value desc, item) as rank from telling qualify rank <= 200))
+select lang, source, part, item, value::bigint as value, rank::int as rank from ranked
+"""
+
 #: A-Z is lowered by translate, as lower() changes other letters too. Windows of items meet those of documents by their words joined
 #: by spaces, which no word holds.
 OP12 = r"""

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, htmltext, langid, linededup, packing, postings, rpforest, simhash, tokencoder, urlfilter, viterbi, wordruns
+from . import decontam, divergence, htmltext, langid, linededup, packing, postings, rpforest, simhash, tokencoder, urlfilter, viterbi, wordruns
 from .common import scratch_path
-from .oracles import OP12, OP13
+from .oracles import OP11, OP12, OP13
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def op12_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.find_hits(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), columns=["doc_id"])
     n_hit = decontam.hit_words(F.col("spans"))
@@ -89,9 +93,9 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (op1_language_id, op2_html_text, op3_url_filter, op4_embedding_near_dedup, op5_line_dedup, op6_simhash_near_dedup, op7_nearest_neighbours, op8_token_output, op9_subword_encoding, op10_packing, op12_benchmark_decontamination, op13_periodic_runs)
+    own = (op1_language_id, op2_html_text, op3_url_filter, op4_embedding_near_dedup, op5_line_dedup, op6_simhash_near_dedup, op7_nearest_neighbours, op8_token_output, op9_subword_encoding, op10_packing, op11_source_divergence, op12_benchmark_decontamination, op13_periodic_runs)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict:
-    return {"op12_benchmark_decontamination": OP12, "op13_periodic_runs": OP13}
+    return {"op11_source_divergence": OP11, "op12_benchmark_decontamination": OP12, "op13_periodic_runs": OP13}
