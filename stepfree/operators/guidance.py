@@ -7,7 +7,9 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,14 +74,21 @@ def fold_steps(lengths, leads, kinds, trails=None) -> list[tuple[str, str | None
 
 def steps(links: DataFrame, key: str = "trip") -> DataFrame:
     """Steps of each route from its links (key, pos, length, bearing, link_type, and trail, the bearing at its end, if it bends)."""
-    own = [key, "pos", "length", "bearing", "link_type", *(["trail"] if "trail" in links.columns else [])]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        rows = fold_steps(pdf["length"], pdf["bearing"], pdf["link_type"], pdf.get("trail"))
-        return pd.DataFrame([(pdf[key].iloc[0], i, *r) for i, r in enumerate(rows)], columns=[key, "idx", "maneuver", "link_type", "distance_m"])
-
-    return links.select(*own).groupBy(key).applyInPandas(run, f"{key} bigint, idx int, maneuver string, link_type string, distance_m double")
+    own = ["pos", "length", "bearing", "link_type", *(["trail"] if "trail" in links.columns else [])]
+    kind = links.schema[key].dataType.simpleString()
+    routes = links.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*own))).alias("links"))
+
+    def run(batches):
+        for b in batches:
+            rows, sizes = [], []
+            for route in b["links"].to_pylist():
+                got = fold_steps(*([x[c] for x in route] for c in own[1:]))
+                rows += [(i, *r) for i, r in enumerate(got)]
+                sizes.append(len(got))
+            columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int32(), pa.string(), pa.string(), pa.float64()))]
+            yield pa.record_batch([b[key].take(pa.array(np.repeat(np.arange(len(sizes)), sizes))), *columns], names=[key, "idx", "maneuver", "link_type", "distance_m"])
+
+    return routes.mapInArrow(run, f"{key} {kind}, idx int, maneuver string, link_type string, distance_m double")
 
 
 def with_bearings(path_links: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -78,7 +78,7 @@ def gr03_plan_cost(d):
     """Cost of the cheapest walk from one node to every other, by the batch planner."""
     near = d.edge
     trips = d.node.where("node_id <> 0").select(F.col("node_id").alias("trip"), F.lit(0).cast("bigint").alias("start"), F.col("node_id").alias("goal"))
-    return routing.plan(near, trips, WALK).where("relaxed = 0").select(F.col("trip").alias("goal"), F.round("cost", 4).alias("cost"))
+    return routing.plan(near, trips, WALK, places=d.node).where("relaxed = 0").select(F.col("trip").alias("goal"), F.round("cost", 4).alias("cost"))
 
 
 def _trips(d):
@@ -91,7 +91,7 @@ def _trips(d):
 @query()
 def gr05_alternatives(d):
     """Up to three routes for each of some trips, with length, slopes and score."""
-    routes = routing.plan(d.edge, _trips(d), "wheelchair_electric", 3)
+    routes = routing.plan(d.edge, _trips(d), "wheelchair_electric", 3, places=d.node)
     return routing.summary(routes, d.edge, graph.PROFILES["wheelchair_electric"]).select("trip", "alternative", F.round("total_m", 3).alias("total_m"), F.round("duration_s", 3).alias("duration_s"), F.round("mean_slope", 4).alias("mean_slope"), "max_slope", "steps", "crossings", "elevators", "ramps", "warnings", F.round("score", 4).alias("score"))
 
 
@@ -200,7 +200,7 @@ def gr14_crosswalk_marks(d):
 
 
 def _routes(d):
-    return routing.plan(d.edge, _trips(d), WALK)
+    return routing.plan(d.edge, _trips(d), WALK, places=d.node)
 
 
 @query()

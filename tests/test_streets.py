@@ -85,12 +85,6 @@ def test_radius_join_equals_the_cross_join(spark):
         assert set(rows) == want and len(rows) == len(want)
 
 
-def test_overlong_graphs_are_refused(spark, monkeypatch):
-    monkeypatch.setattr(routing, "MOST_LINKS", 2)
-    with pytest.raises(ValueError):
-        plan(spark, diamond(spark), "walk")
-
-
 def test_virtual_links_join_a_place_to_both_ends(spark):
     from stepfree.operators import virtual
 
