@@ -20,17 +20,20 @@ def with_cell(df: DataFrame, lat: str, lng: str, radius_m: float, lat_limit: flo
     return df.withColumns({"cell_y": F.floor(F.col(lat) / h), "cell_x": F.floor(F.col(lng) / w)})
 
 
-def with_neighbour_cells(df: DataFrame, lat: str, lng: str, radius_m: float) -> DataFrame:
+def with_neighbour_cells(df: DataFrame, lat: str, lng: str, radius_m: float, lat_limit: float = 60.0) -> DataFrame:
     """One row for the own cell and each of the eight round it."""
     steps = F.array(*[F.struct(F.lit(y).alias("y"), F.lit(x).alias("x")) for y in (-1, 0, 1) for x in (-1, 0, 1)])
-    df = with_cell(df, lat, lng, radius_m).withColumn("step", F.explode(steps))
+    df = with_cell(df, lat, lng, radius_m, lat_limit).withColumn("step", F.explode(steps))
     return df.withColumns({"cell_y": F.col("cell_y") + F.col("step.y"), "cell_x": F.col("cell_x") + F.col("step.x")}).drop("step")
 
 
-def radius_join(left: DataFrame, right: DataFrame, radius_m: float, distance: str = "dist_m", left_at=("lat", "lng"), right_at=("r_lat", "r_lng")) -> DataFrame:
-    """Every pair within the radius; rows without coordinates pair with nothing. The copied side should be the smaller one."""
-    cells = with_neighbour_cells(right.where(F.col(right_at[0]).isNotNull() & F.col(right_at[1]).isNotNull()), *right_at, radius_m)
-    pairs = with_cell(left, *left_at, radius_m).join(cells, ["cell_y", "cell_x"]).drop("cell_y", "cell_x")
+def radius_join(left: DataFrame, right: DataFrame, radius_m: float, distance: str = "dist_m", left_at=("lat", "lng"), right_at=("r_lat", "r_lng"), lat_limit: float = 60.0) -> DataFrame:
+    """Every pair within the radius; rows without coordinates pair with nothing. The copied side should be the smaller one.
+
+    lat_limit bounds the latitudes, as for ``segment_join``.
+    """
+    cells = with_neighbour_cells(right.where(F.col(right_at[0]).isNotNull() & F.col(right_at[1]).isNotNull()), *right_at, radius_m, lat_limit)
+    pairs = with_cell(left, *left_at, radius_m, lat_limit).join(cells, ["cell_y", "cell_x"]).drop("cell_y", "cell_x")
     return pairs.withColumn(distance, haversine(F.col(left_at[0]), F.col(left_at[1]), F.col(right_at[0]), F.col(right_at[1]))).where(F.col(distance) <= radius_m)
 
 

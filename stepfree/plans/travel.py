@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stepfree.functions import geo
-from stepfree.operators import spatial
+from stepfree.operators import multimodal, spatial
 
 from .base import hav, query
 
@@ -268,3 +268,66 @@ def set03_subway_candidates(d):
     c = a.join(b, ["trip", "line"]).where("pa <> pb and w1 * 1.35 <= 5000 and w2 * 1.35 <= 5000")
     c = c.withColumn("score", (F.col("w1") + F.col("w2")) * 1.35 + F.abs(F.col("pa") - F.col("pb")) * 180 + 250)
     return spatial.top_k(c, ["trip"], [F.round("score", 4), "board", "alight"], 1).select("trip", "board", "alight", F.round("score", 2).alias("score"))
+
+
+_REACH = multimodal.Reach(stop_m=2500, station_m=3000, transfer_m=2500)
+_STATIONS = """SELECT poi_id AS station_id, kind AS line, row_number() OVER (PARTITION BY kind ORDER BY poi_id) AS place, p.lat, p.lng, f.elevator_yn = 'N' AS lift_only
+  FROM poi p LEFT JOIN facility f ON f.fac_id = p.poi_id WHERE kind IN ('sports_org', 'sports_fac')"""
+
+
+def _journeys(d):
+    """What a search needs, with all stops within reach of the sparse places of the tables."""
+    o = d.origin.select(F.col("id").alias("trip"), F.col("lat").alias("o_lat"), F.col("lng").alias("o_lng"))
+    t = d.origin.select((F.col("id") - 1).alias("trip"), F.col("lat").alias("t_lat"), F.col("lng").alias("t_lng"))
+    stations = d.poi.where("kind in ('sports_org', 'sports_fac')").withColumn("place", F.row_number().over(Window.partitionBy("kind").orderBy("poi_id")))
+    lifts = d.facility.select(F.col("fac_id").alias("poi_id"), (F.col("elevator_yn") == "N").alias("lift_only"))
+    stations = stations.join(lifts, "poi_id", "left").select(F.col("poi_id").alias("station_id"), F.col("kind").alias("line"), "place", "lat", "lng", "lift_only")
+    return o.join(t, "trip"), d.poi.select(F.col("poi_id").alias("stop_id"), "lat", "lng"), d.route_station, stations
+
+
+def _nearest(name: str, places: str, key: str, targets: str, target: str, radius: float, k: int) -> str:
+    """The k nearest targets of each place, as a named part of a query."""
+    far = hav("x.lat", "x.lng", "y.lat", "y.lng")
+    return f"{name} AS (SELECT * FROM (SELECT x.{key}, y.*, {far} AS walk, row_number() OVER (PARTITION BY x.{key} ORDER BY round({far}, 6), y.{target}) AS near FROM {places} x JOIN {targets} y ON {far} <= {radius} AND {far} * 1.35 <= 5000) WHERE near <= {k})"
+
+
+_BOARD_END, _STRAIGHT = hav("a.lat", "a.lng", "t.lat", "t.lng"), hav("a.lat", "a.lng", "b.lat", "b.lng")
+_BOARD_CHANGE = hav("a.lat", "a.lng", "s.lat", "s.lng")
+_FOUND = f"""o AS (SELECT id AS trip, lat, lng FROM origin), t AS (SELECT o.id AS trip, n.lat, n.lng FROM origin n JOIN origin o ON o.id = n.id - 1), stop AS ({_STOP}), station AS ({_STATIONS}),
+  {_nearest("a0", "o", "trip", "stop", "stop_id", 2500, 6)}, {_nearest("b0", "t", "trip", "stop", "stop_id", 2500, 20)}, {_nearest("ra", "o", "trip", "station", "station_id", 3000, 3)}, {_nearest("rb", "t", "trip", "station", "station_id", 3000, 3)},
+  {_nearest("ch", "station", "station_id", "(SELECT stop_id, lat, lng FROM stop)", "stop_id", 2500, 4)},
+  ride AS (SELECT x.stop_id AS board, y.stop_id AS alight, x.route_id, min(y.seq - x.seq) AS n, arg_min(x.seq, (y.seq - x.seq, x.seq)) AS sa FROM route_station x JOIN route_station y ON x.route_id = y.route_id AND x.seq < y.seq AND x.stop_id <> y.stop_id
+    JOIN stop a ON a.stop_id = x.stop_id JOIN stop b ON b.stop_id = y.stop_id WHERE y.seq - x.seq <= greatest(8, ceil({_STRAIGHT} / 300 * 2.5)) GROUP BY x.stop_id, y.stop_id, x.route_id),
+  bus AS (SELECT a.trip, 'bus' AS kind, r.board, r.alight, r.route_id, r.sa, r.n, NULL AS line, NULL AS s1, NULL AS s2, NULL AS hops, a.walk + b.walk AS walk, (a.walk + b.walk) * 1.35 + r.n * 150 + 250 AS score FROM a0 a JOIN b0 b ON b.trip = a.trip JOIN t ON t.trip = a.trip
+    JOIN ride r ON r.board = a.stop_id AND r.alight = b.stop_id WHERE b.walk < {_BOARD_END}),
+  rail AS (SELECT a.trip, 'rail', NULL, NULL, NULL, NULL, NULL, a.line, a.station_id, b.station_id, abs(a.place - b.place), a.walk + b.walk, (a.walk + b.walk) * 1.35 + abs(a.place - b.place) * 180 + 250 FROM ra a JOIN rb b ON b.trip = a.trip AND b.line = a.line AND b.place <> a.place),
+  change AS (SELECT a.trip, 'bus_rail', r.board, r.alight, r.route_id, r.sa, r.n, s.line, s.station_id, z.station_id, abs(s.place - z.place), a.walk + c.walk + z.walk, (a.walk + c.walk + z.walk) * 1.35 + r.n * 150 + abs(s.place - z.place) * 180 + 500 FROM a0 a JOIN ride r ON r.board = a.stop_id
+    JOIN ch c ON c.stop_id = r.alight JOIN station s ON s.station_id = c.station_id JOIN rb z ON z.trip = a.trip AND z.line = s.line AND z.place <> s.place WHERE c.walk < {_BOARD_CHANGE}),
+  every AS (SELECT * FROM bus UNION ALL SELECT * FROM rail UNION ALL SELECT * FROM change),
+  found AS (SELECT * FROM (SELECT *, cast(row_number() OVER (PARTITION BY trip ORDER BY round(score, 4), coalesce(board, -1), coalesce(alight, -1), coalesce(route_id, -1), coalesce(s1, -1), coalesce(s2, -1)) as int) AS rank FROM every WHERE trip IN (SELECT trip FROM t)) WHERE rank <= 8)"""
+
+
+@query(f"WITH {_FOUND} SELECT trip, rank, kind, board, alight, route_id, n AS stop_cnt, line, s1 AS rail_board, s2 AS rail_alight, cast(hops as bigint) AS station_cnt, round(score, 2) AS score FROM found")
+def tr16_journeys(d):
+    """The eight best journeys by bus, rail, or bus to rail from each origin to the next one's place."""
+    trips, stops, calls, stations = _journeys(d)
+    found = multimodal.search(trips, stops, calls, stations, _REACH, lat_limit=45.0)
+    return found.select("trip", "rank", "kind", "board", "alight", "route_id", "stop_cnt", "line", "rail_board", "rail_alight", "station_cnt", F.round("score", 2).alias("score"))
+
+
+_HOP, _RAIL_M = hav("p.lat", "p.lng", "q.lat", "q.lng"), hav("s.lat", "s.lng", "z.lat", "z.lng")
+_OD = hav("o.lat", "o.lng", "t.lat", "t.lng")
+
+
+@query(f"""WITH {_FOUND}, hop AS (SELECT r.route_id, r.seq, r.stop_id, sum(CASE WHEN p.lat IS NULL THEN 0 ELSE {_HOP} END) OVER (PARTITION BY r.route_id ORDER BY r.seq, r.stop_id) AS along FROM (SELECT *, lag(stop_id) OVER (PARTITION BY route_id ORDER BY seq, stop_id) AS before FROM route_station) r JOIN stop q ON q.stop_id = r.stop_id LEFT JOIN stop p ON p.stop_id = r.before),
+  m AS (SELECT f.*, f.walk * 1.35 AS walk_m, coalesce(hb.along - ha.along, 0) AS bus_m, CASE WHEN s.lat IS NULL THEN 0 ELSE {_RAIL_M} END AS rail_m, CASE WHEN a.lat IS NOT NULL THEN {_STRAIGHT} END AS straight, coalesce(cast(s.lift_only as int), 0) + coalesce(cast(z.lift_only as int), 0) AS lifts, {_OD} AS od
+    FROM found f JOIN o ON o.trip = f.trip JOIN t ON t.trip = f.trip LEFT JOIN stop a ON a.stop_id = f.board LEFT JOIN stop b ON b.stop_id = f.alight LEFT JOIN station s ON s.station_id = f.s1 LEFT JOIN station z ON z.station_id = f.s2
+    LEFT JOIN hop ha ON ha.route_id = f.route_id AND ha.seq = f.sa AND ha.stop_id = f.board LEFT JOIN hop hb ON hb.route_id = f.route_id AND hb.seq = f.sa + f.n AND hb.stop_id = f.alight),
+  k AS (SELECT *, walk_m + coalesce(n, 0) * 150 + coalesce(hops, 0) * 180 + CASE kind WHEN 'bus_rail' THEN 500 ELSE 250 END + lifts * 1500 AS actual FROM m WHERE walk_m + bus_m + rail_m <= greatest(2000, 4 * od) AND (straight IS NULL OR bus_m <= greatest(1500, 3 * straight)))
+  SELECT trip, rank, kind, round(actual, 2) AS actual, round(walk_m, 2) AS walk_m, round(bus_m, 2) AS bus_m, round(rail_m, 2) AS rail_m, coalesce(n, 0) AS stops, cast(coalesce(hops, 0) as bigint) AS stations, lifts AS lift_only,
+  round(walk_m + coalesce(n, 0) * 120 + coalesce(hops, 0) * 150 + CASE WHEN hops > 0 THEN 240 ELSE 0 END, 2) AS duration_s FROM (SELECT *, row_number() OVER (PARTITION BY trip ORDER BY round(actual, 4), rank) AS rn FROM k) WHERE rn = 1""")
+def srt06_reranked(d):
+    """The journey of each trip that stays best once its ride is measured along the stops and its platforms are looked at."""
+    trips, stops, calls, stations = _journeys(d)
+    best = multimodal.reranked(multimodal.search(trips, stops, calls, stations, _REACH, lat_limit=45.0), trips, stops, calls, stations)
+    return best.select("trip", "rank", "kind", *[F.round(c, 2).alias(c) for c in ("actual", "walk_m", "bus_m", "rail_m", "duration_s")], "stops", "stations", "lift_only")
