@@ -13,6 +13,7 @@ prediction; those of the input may have any names.
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from dataclasses import dataclass
 
@@ -28,7 +29,8 @@ from .pieces import PieceTable, by_length, codes
 SAMPLE_PER_LANGUAGE = 1500
 ITERATIONS = 3
 UNKNOWN = "und"
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: Runs of letters; numerals that are no decimal digits count as word characters, too.
+_LETTERS = re.compile(r"[^\W\d_" + "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal()) + "]+")
 #: Probability of a single character that the vocabulary or the language lacks.
 _FLOOR = 1e-7
 

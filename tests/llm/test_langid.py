@@ -72,3 +72,9 @@ def test_unlabelled_tables_are_kept(spark, documents):
 
     docs = documents.limit(20).withColumn("lang", F.lit(None).cast("string")).unionByName(spark.createDataFrame([(10**6, "12 !", None, "s", 4), (10**6 + 1, None, None, "s", 0)], documents.schema))
     assert langid.keep_identified(docs, langid.fit(docs)).count() == 20
+
+
+def test_numerals_are_no_letters():
+    from stepfree.llm.langid import _LETTERS
+
+    assert _LETTERS.findall("½ ² ① Ⅷ 五 12 a1b é_ñ") == ["五", "a", "b", "é", "ñ"]

@@ -43,7 +43,7 @@ def test_run_packs_every_id_once(spark):
 
 
 def test_every_operator_has_one_query():
-    assert sorted(int(k[2:].split("_")[0]) for k in queries.queries()) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in queries.queries()) == list(range(1, 14))
 
 
 def test_empty_and_odd_rows_pass_all_stages(spark, documents):
@@ -53,3 +53,14 @@ def test_empty_and_odd_rows_pass_all_stages(spark, documents):
         for name, stage in corpus_pipeline.STAGES:
             docs = corpus_pipeline.materialize(stage(spark, docs, SF), f"test-{name}")
         assert {r["doc_id"] for r in docs.collect()} - {None} == want
+
+
+def test_line_dedup_minds_no_names_of_columns(spark):
+    """A column called as the stage's own count, and none called n_chars."""
+    passage = " ".join(f"alpha{i} beta{i}" for i in range(40))
+    rows = [(1, f"First.\n{passage}", "x", 5), (2, f"{passage}\nWhat is left of it.", "y", 5)]
+    stage = dict(corpus_pipeline.STAGES)["line_dedup"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lines_deleted string, n_chars int")
+    got = {r["doc_id"]: r for r in stage(spark, docs, SF).collect()}
+    assert got[2].asDict() == {"doc_id": 2, "text": "What is left of it.", "lines_deleted": "y", "n_chars": 19} and got[1]["n_chars"] == 5
+    assert {r["text"] for r in stage(spark, docs.drop("n_chars"), SF).collect()} == {rows[0][1], "What is left of it."}
