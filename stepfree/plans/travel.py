@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from stepfree.functions import geo
 from stepfree.operators import multimodal, spatial
+from stepfree.scratch import scratch_path
 
 from .base import hav, query
 
@@ -331,3 +332,36 @@ def srt06_reranked(d):
     trips, stops, calls, stations = _journeys(d)
     best = multimodal.reranked(multimodal.search(trips, stops, calls, stations, _REACH, lat_limit=45.0), trips, stops, calls, stations)
     return best.select("trip", "rank", "kind", *[F.round(c, 2).alias(c) for c in ("actual", "walk_m", "bus_m", "rail_m", "duration_s")], "stops", "stations", "lift_only")
+
+
+_PASSED = "(SELECT max(epoch_ms(ts)) - 600000 FROM events)"
+
+
+@query(f"""WITH e AS (SELECT user_id, epoch_ms(ts) AS ms, event_id, cast(event_id % 500 as double) AS along, coalesce(value > 30, false) AS off FROM events WHERE epoch_ms(ts) <= {_PASSED}),
+  x AS (SELECT *, off AND NOT coalesce(lag(off) OVER w, false) AS reroute, coalesce(max(CASE WHEN NOT off THEN along END) OVER w, 0) AS progress_m FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ms, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+  SELECT user_id, event_id, progress_m, off, reroute, cast(sum(cast(reroute as int)) OVER (PARTITION BY user_id ORDER BY ms, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) as bigint) AS reroutes FROM x""")
+def stm04_progress(d):
+    """Each user's progress along a planned route and the moments that call for a new one, by a stream with state, up to its watermark."""
+    from stepfree.streaming import keyed, tracks
+
+    stream = tracks.read_events(d._spark, d._dir, "events.parquet")
+    stream = stream.select("user_id", "ts", "event_id", (F.col("event_id") % 500).cast("double").alias("along_m"), F.col("value").alias("off_m"))
+    out = keyed.delivered(stream, "user_id", "ts", "event_id", keyed.PROGRESS)
+    return keyed.table(out, scratch_path(d._spark, "progress")).select("user_id", F.col("number").alias("event_id"), "progress_m", "off", "reroute", "reroutes")
+
+
+@query(f"""WITH RECURSIVE q AS (SELECT event_id % 300 AS stop_id, epoch_ms(ts) AS ms, event_id, event_type AS answer, event_id % 7 = 0 AS error FROM events WHERE epoch_ms(ts) <= {_PASSED}),
+  n AS (SELECT *, row_number() OVER (PARTITION BY stop_id ORDER BY ms, event_id) AS i FROM q),
+  r(stop_id, i, event_id, until, body, failed, kept) AS (
+    SELECT stop_id, i, event_id, ms + CASE WHEN error THEN 10000 ELSE 20000 END, CASE WHEN NOT error THEN answer END, error, false FROM n WHERE i = 1
+    UNION ALL SELECT n.stop_id, n.i, n.event_id, CASE WHEN n.ms < r.until THEN r.until ELSE n.ms + CASE WHEN n.error THEN 10000 ELSE 20000 END END,
+      CASE WHEN n.ms < r.until THEN r.body WHEN NOT n.error THEN n.answer END, CASE WHEN n.ms < r.until THEN r.failed ELSE n.error END, n.ms < r.until FROM r JOIN n ON n.stop_id = r.stop_id AND n.i = r.i + 1)
+  SELECT stop_id, event_id, kept, body, failed FROM r""")
+def stm05_kept_answers(d):
+    """Questions about stops: an answer serves those who ask in the next 20 seconds, a failure for 10; by a stream with state."""
+    from stepfree.streaming import keyed, tracks
+
+    stream = tracks.read_events(d._spark, d._dir, "events.parquet")
+    stream = stream.select((F.col("event_id") % 300).alias("stop_id"), "ts", "event_id", F.col("event_type").alias("answer"), (F.col("event_id") % 7 == 0).alias("error"))
+    out = keyed.delivered(stream, "stop_id", "ts", "event_id", keyed.ANSWERS)
+    return keyed.table(out, scratch_path(d._spark, "answers")).select("stop_id", F.col("number").alias("event_id"), "kept", "body", "failed")

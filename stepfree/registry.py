@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stepfree.plans import base, details, places, records, streets, travel  # noqa: F401  (the modules register their queries)
+from stepfree.plans import base, building, details, places, records, streets, travel  # noqa: F401  (the modules register their queries)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
