@@ -29,8 +29,10 @@ from .pieces import PieceTable, by_length, codes
 SAMPLE_PER_LANGUAGE = 1500
 ITERATIONS = 3
 UNKNOWN = "und"
-#: Runs of letters; numerals that are no decimal digits count as word characters, too.
-_LETTERS = re.compile(r"[^\W\d_" + "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal()) + "]+")
+_LETTERS = re.compile(r"[^\W\d_]+")
+#: Numerals that are no decimal digits count as letters there, so texts that hold some are cut at them first.
+_NUMERALS = {i: " " for i in range(128, sys.maxunicode + 1) if (c := chr(i)).isnumeric() and not c.isalpha() and not c.isdecimal()}
+_NUMERAL_CHARACTERS = frozenset(map(chr, _NUMERALS))
 #: Probability of a single character that the vocabulary or the language lacks.
 _FLOOR = 1e-7
 
@@ -45,7 +47,11 @@ def vocabulary(path: str | None = None) -> list[str]:
 
 
 def words_of(chunk: str) -> list[str]:
-    return ["▁" + w for w in _LETTERS.findall(chunk.lower())]
+    return ["▁" + w for w in letter_runs(chunk.lower())]
+
+
+def letter_runs(text: str) -> list[str]:
+    return _LETTERS.findall(text if text.isascii() or _NUMERAL_CHARACTERS.isdisjoint(set(text)) else text.translate(_NUMERALS))
 
 
 def _weights(found: dict[int, np.ndarray], shape: tuple[int, int], probs: np.ndarray) -> dict[int, np.ndarray]:

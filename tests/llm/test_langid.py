@@ -75,6 +75,6 @@ def test_unlabelled_tables_are_kept(spark, documents):
 
 
 def test_numerals_are_no_letters():
-    from stepfree.llm.langid import _LETTERS
+    from stepfree.llm.langid import letter_runs
 
-    assert _LETTERS.findall("½ ² ① Ⅷ 五 12 a1b é_ñ") == ["五", "a", "b", "é", "ñ"]
+    assert letter_runs("½ ² ① Ⅷ 五 12 a1b é_ñ x²y") == ["五", "a", "b", "é", "ñ", "x", "y"] and letter_runs("a1b_c") == ["a", "b", "c"]
