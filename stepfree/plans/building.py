@@ -70,3 +70,55 @@ def srt07_spanning_joins(d):
 def gr26_limited_joins(d):
     """Joins, shortest first, two for each line at most."""
     return greedy.limited(_gaps(d), 2).select("a", "b", F.round("d", 4).alias("d"))
+
+
+# the plane of the lattice: metres by the scale at its south
+_PX, _PY = "(lng - 126.8) * (111320.0 * cos(radians(37.3)))", "(lat - 37.3) * 110540.0"
+_POINT = f"SELECT node_id, p_size, {_PX} AS x, {_PY} AS y FROM node"
+#: Two overlapping triangles beside every fifth node stand for stairs.
+_CORNERS = tuple((k, f"x + {a}", f"y + {b}") for k, a, b in ((0, "p_size % 7 - 6", "-4"), (1, "12 + p_size % 5", "-3"), (2, "4", "6 + p_size % 11")))
+_SHIFT = "(p_size % 4)"
+
+
+def _plane(d):
+    at = d.node.select("node_id", "p_size", F.expr(_PX).alias("x"), F.expr(_PY).alias("y"))
+    corner = lambda x, y, more="0": F.struct(F.expr(f"{x} + {more}").alias("x"), F.expr(y).alias("y"))
+    ring = lambda more: F.array(F.array(*[corner(x, y, more) for _, x, y in _CORNERS]))
+    own = at.where("node_id % 5 = 0")
+    shapes = own.select((F.col("node_id") * 2).alias("polygon_id"), ring("0").alias("rings")).union(own.select(F.col("node_id") * 2 + 1, ring(_SHIFT)))
+    end = lambda n, i: at.select(F.col("node_id").alias(n), F.col("x").alias(f"x{i}"), F.col("y").alias(f"y{i}"))
+    links = d.edge.join(end("u", 1), "u").join(end("v", 2), "v")
+    return links.withColumn("base_m", F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))), shapes
+
+
+_RING = " UNION ALL ".join(f"SELECT node_id * 2 + {s} AS polygon_id, {k} AS k, {x} + {_SHIFT if s else 0} AS x, {y} AS y FROM point WHERE node_id % 5 = 0" for s in (0, 1) for k, x, y in _CORNERS)
+_LEFT, _RIGHT = ("((s.x2 - s.x1) * (r.y{0} - s.y1) - (s.y2 - s.y1) * (r.x{0} - s.x1))".format(i) for i in "ab")
+_INSIDE = f"""point AS ({_POINT}), ring AS ({_RING}), side AS (SELECT p.polygon_id, p.x AS xa, p.y AS ya, q.x AS xb, q.y AS yb, z.x AS xz, z.y AS yz FROM ring p JOIN ring q ON q.polygon_id = p.polygon_id AND q.k = (p.k + 1) % 3 JOIN ring z ON z.polygon_id = p.polygon_id AND z.k = 0),
+  seg AS (SELECT e.*, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2, sqrt(pow(b.x - a.x, 2) + pow(b.y - a.y, 2)) AS base_m FROM edge e JOIN point a ON a.node_id = e.u JOIN point b ON b.node_id = e.v),
+  hit AS (SELECT s.u, s.v, r.polygon_id, ((r.xa + {_LEFT} / ({_LEFT} - {_RIGHT}) * (r.xb - r.xa) - s.x1) * (s.x2 - s.x1) + (r.ya + {_LEFT} / ({_LEFT} - {_RIGHT}) * (r.yb - r.ya) - s.y1) * (s.y2 - s.y1)) / pow(s.base_m, 2) AS t
+    FROM seg s JOIN side r ON ({_LEFT} > 0) <> ({_RIGHT} > 0) AND abs(r.xz - s.x1) < 100 AND abs(r.yz - s.y1) < 100),
+  turn AS (SELECT *, row_number() OVER w AS i, lead(t) OVER w AS f FROM hit WINDOW w AS (PARTITION BY u, v, polygon_id ORDER BY t)),
+  stretch AS (SELECT u, v, greatest(0.0, least(1.0, t)) AS s, greatest(0.0, least(1.0, f)) AS e FROM turn WHERE i % 2 = 1),
+  fresh AS (SELECT u, v, greatest(0, e - greatest(s, coalesce(max(e) OVER (PARTITION BY u, v ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS n FROM stretch WHERE e > s),
+  cover AS (SELECT f.u, f.v, sum(n) * any_value(base_m) AS inside_m FROM fresh f JOIN seg ON seg.u = f.u AND seg.v = f.v GROUP BY f.u, f.v)"""
+
+
+@query(f"WITH {_INSIDE} SELECT u, v, round(inside_m, 4) AS inside_m FROM cover WHERE inside_m > 1e-6")
+def geo13_inside_metres(d):
+    """How many metres of each link lie on stairs, where polygons overlap."""
+    from stepfree.operators import polygons
+
+    links, shapes = _plane(d)
+    out = polygons.covered(links.select("u", "v", "x1", "y1", "x2", "y2"), shapes, ["u", "v"])
+    return out.where("inside_m > 1e-6").select("u", "v", F.round("inside_m", 4).alias("inside_m"))
+
+
+@query(f"""WITH {_INSIDE} SELECT s.u, s.v, CASE WHEN c.inside_m >= 3 AND s.length / s.base_m <= 1.15 AND c.inside_m / s.base_m >= 0.3 AND s.link_type NOT IN ('steps', 'overpass', 'underpass') THEN 'steps' ELSE s.link_type END AS link_type,
+  CASE WHEN c.inside_m >= 3 AND s.length / s.base_m <= 1.15 AND c.inside_m / s.base_m >= 0.3 AND s.link_type NOT IN ('steps', 'overpass', 'underpass') THEN s.link_type END AS orig_link_type FROM seg s LEFT JOIN cover c ON c.u = s.u AND c.v = s.v""")
+def gr33_stairs(d):
+    """Links that lie on stairs become steps; what they were is kept."""
+    from stepfree.operators import polygons
+
+    links, shapes = _plane(d)
+    covers = polygons.covered(links.select("u", "v", "x1", "y1", "x2", "y2"), shapes, ["u", "v"])
+    return polygons.stairs(links, covers, ["u", "v"]).select("u", "v", "link_type", "orig_link_type")
