@@ -161,6 +161,26 @@ class ByteBpeEncoder:
         return self.encode_column(pa.array([text]))[0]
 
 
+def give_back() -> None:
+    """Returns memory that this worker process no longer uses to the system; it would stay with the process for the stages that follow."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def giving_back(run):
+    """A function of batches that gives memory back when it is done."""
+
+    @functools.wraps(run)
+    def own(batches):
+        yield from run(batches)
+        give_back()
+
+    return own
+
+
 def chunks(batches, column: str, size: int = 1 << 24):
     """Joins batches until the column holds ``size`` bytes, so that what repeats in it is met often but memory is bounded."""
     held, n = [], 0

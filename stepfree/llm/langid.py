@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize, tokenizer_path
+from .common import bounded_batches, giving_back, materialize, tokenizer_path
 from .pieces import PieceTable, by_length, codes
 
 #: Labelled texts of each language that the model is fitted on, as expected by a draw by the id's hash.
@@ -204,7 +204,7 @@ def fit(docs: DataFrame, text="text", label="lang", doc_id="doc_id", sample: int
                         own[w, index[k]] += n
             yield pa.record_batch({"w": pa.array([w for w, _ in own], pa.string()), "l": pa.array([k for _, k in own], pa.int32()), "n": pa.array(list(own.values()), pa.int64())})
 
-    counted = drawn.select("t", "l").mapInArrow(count, "w string, l int, n bigint").groupBy("w").agg(*[F.coalesce(F.sum(F.when(F.col("l") == i, F.col("n"))), F.lit(0)).alias(f"n{i}") for i in range(len(languages))])
+    counted = drawn.select("t", "l").mapInArrow(giving_back(count), "w string, l int, n bigint").groupBy("w").agg(*[F.coalesce(F.sum(F.when(F.col("l") == i, F.col("n"))), F.lit(0)).alias(f"n{i}") for i in range(len(languages))])
     counted = materialize(counted, "langid-words")
     known = np.array([bool(p) for p in pieces])
     probs = np.where(known[:, None], 1.0 / known.sum(), 0.0).repeat(len(languages), axis=1)
@@ -219,7 +219,7 @@ def fit(docs: DataFrame, text="text", label="lang", doc_id="doc_id", sample: int
             yield pa.record_batch({"p": pa.array(used, pa.int64())} | {f"n{i}": pa.array(total[used, i]) for i in range(total.shape[1])})
 
         schema = "p bigint, " + ", ".join(f"n{i} double" for i in range(len(languages)))
-        got = counted.mapInArrow(expect, schema).groupBy("p").agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(len(languages))]).collect()
+        got = counted.mapInArrow(giving_back(expect), schema).groupBy("p").agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(len(languages))]).collect()
         total = np.zeros_like(probs)
         for r in got:
             total[r["p"]] = [r[f"n{i}"] for i in range(len(languages))]
@@ -240,7 +240,7 @@ def predict(docs: DataFrame, model: LanguageModel, text="text", doc_id="doc_id")
             yield pa.record_batch([b["doc_id"], b["held_out"], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(giving_back(run), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, text="text", least: float = 0.0) -> DataFrame:
@@ -258,7 +258,7 @@ def keep_identified(docs: DataFrame, model: LanguageModel, text="text", least: f
             names, scores = scorer.predict(b[text].to_pylist())
             yield b.filter(pa.array([n != UNKNOWN and s >= least for n, s in zip(names, scores, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(giving_back(run), docs.schema)
 
 
 def identify(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, free_name, materialize
+from .common import bounded_batches, free_name, giving_back, materialize
 from .components import salted_join
 
 LEAST_WORDS = PASSAGE_WORDS = 50
@@ -236,8 +236,8 @@ def later_passages(docs: DataFrame, passage: int = PASSAGE_WORDS, text="text", d
     rows = _texts(docs, text, doc_id)
     hot = _hot_keys(rows, passage, sample, often, HOT)
     schema = "key bigint, h bigint, at bigint, d bigint"
-    joined = rows.mapInArrow(_fingerprints(passage, hot, False), schema).repartition("key").sortWithinPartitions("key", "h", "at", "d").mapInArrow(_often, "h bigint, at bigint, d bigint")
-    known = rows.mapInArrow(_fingerprints(passage, hot, True), schema).select("h", "at", "d") if len(hot) else joined.limit(0)
+    joined = rows.mapInArrow(giving_back(_fingerprints(passage, hot, False)), schema).repartition("key").sortWithinPartitions("key", "h", "at", "d").mapInArrow(_often, "h bigint, at bigint, d bigint")
+    known = rows.mapInArrow(giving_back(_fingerprints(passage, hot, True)), schema).select("h", "at", "d") if len(hot) else joined.limit(0)
     marks = joined.union(known).groupBy("h").agg(F.min("d").alias("d"), F.collect_set("at").alias("at"))
     # the smallest id that has a text stands for all that have it
     texts = materialize(rows.groupBy("h").agg(F.min("d").alias("d0"), F.max("d").alias("d1")).where("d0 < d1").select("h", "d0"), "passages-copies")
@@ -274,11 +274,11 @@ def later_passages(docs: DataFrame, passage: int = PASSAGE_WORDS, text="text", d
     # p: 31 more bits of the hash, and the word. The join shuffles, as else a task would hold a Python worker on either side of it
     order = ["k1", F.shiftright("p", 32), "salt", "d", "p", "h"]
     stretches = rows.mapInArrow(likely, "d bigint, h bigint, t string").join(marks.hint("merge"), ["d", "h"]).select("d", "h", "t", "at").mapInArrow(stretch, "k1 bigint, p bigint, d bigint, h bigint, salt bigint")
-    later = stretches.repartition("k1", "salt").sortWithinPartitions(*order).mapInArrow(_later(passage), "d bigint, h bigint, run bigint, k1 bigint, p bigint")
+    later = stretches.repartition("k1", "salt").sortWithinPartitions(*order).mapInArrow(giving_back(_later(passage)), "d bigint, h bigint, run bigint, k1 bigint, p bigint")
     if len(hot):
         later = materialize(later, "passages-later")
         firsts = later.where("run = -1").select("k1", "p", "d", "h", F.lit(0).cast("bigint").alias("salt"))
-        later = later.where("run >= 0").union(firsts.repartition("k1").sortWithinPartitions(*order).mapInArrow(_later(passage), "d bigint, h bigint, run bigint, k1 bigint, p bigint"))
+        later = later.where("run >= 0").union(firsts.repartition("k1").sortWithinPartitions(*order).mapInArrow(giving_back(_later(passage)), "d bigint, h bigint, run bigint, k1 bigint, p bigint"))
     found = later.groupBy("d", "h").agg(F.collect_set("run").alias("passages"))
     every = F.array(F.lit((1 << 31) - 1).cast("bigint"))
     return found.union(salted_join(rows.select("d", "h"), texts, "h").where("d > d0").select("d", "h").distinct().withColumn("passages", every))
@@ -421,4 +421,4 @@ def remove_repeats(docs: DataFrame, least: int = LEAST_WORDS, text="text", doc_i
 
     from pyspark.sql.types import IntegerType, StructField, StructType
 
-    return joined.mapInArrow(run, StructType([*docs.schema.fields, StructField(deleted, IntegerType())]))
+    return joined.mapInArrow(giving_back(run), StructType([*docs.schema.fields, StructField(deleted, IntegerType())]))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordBpeEncoder, bounded_batches, chunks, materialize, shared_encoder, tokenizer_path
+from .common import WordBpeEncoder, bounded_batches, chunks, giving_back, materialize, shared_encoder, tokenizer_path
 
 SIZE, END = 4096, 2
 #: Words whose ids a worker keeps at most; about 200 bytes each.
@@ -97,7 +97,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end: int = END, text="text", doc_
                 vectors[i] = project(x, signs)
             yield pa.record_batch([b["doc_id"], pa.array(curve_keys(vectors)), pa.array(sizes), pa.array(ids, pa.binary())], names=["doc_id", "key", "n", "ids"])
 
-    return rows.mapInArrow(run, "doc_id bigint, key bigint, n bigint, ids binary")
+    return rows.mapInArrow(giving_back(run), "doc_id bigint, key bigint, n bigint, ids binary")
 
 
 def lengths(total: int, size: int = SIZE) -> list[int]:
@@ -153,4 +153,4 @@ def pack(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE, end: i
     ids = materialize(tokenized(docs, tokenizer or tokenizer_path("word_bpe_49k.json"), end, text, doc_id, words), "packing-ids")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ordered = ids.repartitionByRange(parts, "key", "doc_id").sortWithinPartitions("key", "doc_id")
-    return ordered.select("doc_id", "n", "ids").mapInArrow(_pack(size), SCHEMA)
+    return ordered.select("doc_id", "n", "ids").mapInArrow(giving_back(_pack(size)), SCHEMA)
