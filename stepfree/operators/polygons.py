@@ -1,4 +1,4 @@
-"""How much of a line lies in polygons, exactly and without joining the polygons to one.
+"""How much of a line lies in polygons, exactly and without joining the polygons to one, and which lines of sight are blocked.
 
 A segment's line crosses the edges of a polygon's rings an even number of times; by the even-odd rule it is inside between the first and
 second crossing, the third and fourth, and so on. Clipped to the segment, these stretches of all polygons are merged by a window over
@@ -84,3 +84,35 @@ def stairs(edges: DataFrame, covers: DataFrame, key: list[str], least: float = L
     straight = F.coalesce(F.col("length") / F.when(F.col("base_m") > 0, F.col("base_m")) <= STRAIGHTNESS, F.col("base_m") > 0)
     found = (F.col("on_stairs_m") >= least) & (F.col("base_m") > 0) & straight & (F.col("on_stairs_m") >= LEAST_SHARE * F.col("base_m")) & ~F.col("link_type").isin(*AVOIDED)
     return rows.withColumn("orig_link_type", F.when(found, F.col("link_type"))).withColumn("link_type", F.when(found, "steps").otherwise(F.col("link_type"))).drop("inside_m")
+
+
+def line_cells(segs: DataFrame, cell: float = CELL_M) -> DataFrame:
+    """One row for each cell that a segment passes, column by column, so a long slanting one lies in few cells of its box."""
+    dx = F.col("x2") - F.col("x1")
+    clip = lambda t: F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
+    height = lambda cx, whole: F.col("y1") + (F.col("y2") - F.col("y1")) * F.when(dx == 0, F.lit(whole)).otherwise(clip((cx * cell - F.col("x1")) / F.when(dx != 0, dx)))
+    columns = segs.withColumn("cx", F.explode(F.sequence(F.floor(F.least("x1", "x2") / cell), F.floor(F.greatest("x1", "x2") / cell))))
+    a, b = height(F.col("cx"), 0.0), height(F.col("cx") + 1, 1.0)
+    # a millionth to spare, as the heights are rounded
+    return columns.withColumn("cy", F.explode(F.sequence(F.floor((F.least(a, b) - 1e-6) / cell), F.floor((F.greatest(a, b) + 1e-6) / cell))))
+
+
+def blocked(sights: DataFrame, key: list[str], buildings: DataFrame | None = None, walls: DataFrame | None = None, cell: float = CELL_M) -> DataFrame:
+    """The keys of sight lines (key, x1, y1, x2, y2) that pass a building (polygon_id, rings) or cross a wall (x1, y1, x2, y2).
+
+    A building that holds either end does not block: what is in it must be left once. A line that touches a wall does not cross it, and one without length
+    is never blocked.
+    """
+    found = []
+    if buildings is not None:
+        inside = stretches(sights, buildings, key, cell).groupBy(*key, "polygon_id").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+        found.append(inside.where("s > 0 and e < 1").select(*key))
+    if walls is not None:
+        there = line_cells(walls.select("x1", "y1", "x2", "y2").where("x1 <> x2 or y1 <> y2"), cell).withColumnsRenamed({"x1": "u1", "y1": "v1", "x2": "u2", "y2": "v2"})
+        pairs = line_cells(sights.where("x1 <> x2 or y1 <> y2"), cell).join(there, ["cx", "cy"])
+        point = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+        a, b, c, d = point("x1", "y1"), point("x2", "y2"), point("u1", "v1"), point("u2", "v2")
+        found.append(pairs.where((_side(a, b, c) * _side(a, b, d) < 0) & (_side(c, d, a) * _side(c, d, b) < 0)).select(*key))
+    if not found:
+        return sights.select(*key).limit(0)
+    return (found[0] if len(found) == 1 else found[0].union(found[1])).distinct()

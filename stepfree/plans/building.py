@@ -122,3 +122,30 @@ def gr33_stairs(d):
     links, shapes = _plane(d)
     covers = polygons.covered(links.select("u", "v", "x1", "y1", "x2", "y2"), shapes, ["u", "v"])
     return polygons.stairs(links, covers, ["u", "v"]).select("u", "v", "link_type", "orig_link_type")
+
+
+_SIGHT = "SELECT a.node_id, a.x + a.p_size % 3 AS x1, a.y + a.p_size % 5 AS y1, b.x AS x2, b.y AS y2 FROM point a JOIN point b ON b.node_id = a.node_id + 81"
+_WALL = "SELECT node_id AS wall_id, x + 3 AS u1, y + 5 AS v1, x + 9 + p_size % 17 AS u2, y - 4 - p_size % 6 AS v2 FROM point WHERE node_id % 11 = 0"
+_WA, _WB = ("((s.x2 - s.x1) * (w.v{0} - s.y1) - (s.y2 - s.y1) * (w.u{0} - s.x1))".format(i) for i in (1, 2))
+_WC, _WD = ("((w.u2 - w.u1) * (s.y{0} - w.v1) - (w.v2 - w.v1) * (s.x{0} - w.u1))".format(i) for i in (1, 2))
+_SL, _SR = _LEFT, _RIGHT
+
+
+@query(f"""WITH point AS ({_POINT}), ring AS ({_RING}), side AS (SELECT p.polygon_id, p.x AS xa, p.y AS ya, q.x AS xb, q.y AS yb, z.x AS xz, z.y AS yz FROM ring p JOIN ring q ON q.polygon_id = p.polygon_id AND q.k = (p.k + 1) % 3 JOIN ring z ON z.polygon_id = p.polygon_id AND z.k = 0),
+  sight AS ({_SIGHT}), wall AS ({_WALL}),
+  hit AS (SELECT s.node_id, r.polygon_id, ((r.xa + {_SL} / ({_SL} - {_SR}) * (r.xb - r.xa) - s.x1) * (s.x2 - s.x1) + (r.ya + {_SL} / ({_SL} - {_SR}) * (r.yb - r.ya) - s.y1) * (s.y2 - s.y1)) / (pow(s.x2 - s.x1, 2) + pow(s.y2 - s.y1, 2)) AS t
+    FROM sight s JOIN side r ON ({_SL} > 0) <> ({_SR} > 0)),
+  turn AS (SELECT *, row_number() OVER w AS i, lead(t) OVER w AS f FROM hit WINDOW w AS (PARTITION BY node_id, polygon_id ORDER BY t)),
+  stretch AS (SELECT node_id, polygon_id, greatest(0.0, least(1.0, t)) AS s, greatest(0.0, least(1.0, f)) AS e FROM turn WHERE i % 2 = 1),
+  inside AS (SELECT node_id, polygon_id FROM stretch WHERE e > s GROUP BY 1, 2 HAVING min(s) > 0 AND max(e) < 1)
+  SELECT node_id FROM inside UNION SELECT s.node_id FROM sight s JOIN wall w ON {_WA} * {_WB} < 0 AND {_WC} * {_WD} < 0""")
+def geo18_blocked_sights(d):
+    """Sight lines between nodes of the lattice that a building or a wall blocks."""
+    from stepfree.operators import polygons
+
+    _, shapes = _plane(d)
+    at = d.node.select("node_id", "p_size", F.expr(_PX).alias("x"), F.expr(_PY).alias("y"))
+    there = at.select((F.col("node_id") - 81).alias("node_id"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    sights = at.join(there, "node_id").select("node_id", F.expr("x + p_size % 3").alias("x1"), F.expr("y + p_size % 5").alias("y1"), "x2", "y2")
+    walls = at.where("node_id % 11 = 0").select(F.expr("x + 3").alias("x1"), F.expr("y + 5").alias("y1"), F.expr("x + 9 + p_size % 17").alias("x2"), F.expr("y - 4 - p_size % 6").alias("y2"))
+    return polygons.blocked(sights, ["node_id"], shapes, walls)

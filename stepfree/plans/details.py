@@ -9,6 +9,7 @@ from stepfree.functions import text
 from stepfree.operators import graph, spatial
 
 from .base import hav, query
+from .streets import sql_passable
 
 
 @query("SELECT p_partkey AS id, coalesce(CASE WHEN p_size % 4 <> 0 THEN p_size % 3 END, 0) + coalesce(CASE WHEN p_size % 5 <> 0 THEN p_size % 2 END, 0) + coalesce(CASE WHEN p_partkey % 3 <> 0 THEN p_partkey % 2 END, 0) > 0 AS accessible FROM part")
@@ -28,14 +29,18 @@ def prj08_three_states(d):
     return d.facility.select("fac_id", text.status(F.col("ramp_yn")).alias("ramp"), both.alias("entry"), some.alias("any_of"))
 
 
-_PROFILES = ", ".join(f"('{p.id}', cast({p.max_slope} as double), cast({p.limit} as double), cast({p.speed} as double), '{','.join(p.avoid)}', {str(p.curb_cut).lower()})" for p in graph.PROFILES.values())
+def _profile_sql(p: graph.Profile) -> str:
+    return f"""SELECT '{p.id}' AS profile, cast({p.max_slope} as double) AS max_slope, cast({p.limit} as double) AS hard_slope, cast({p.speed} as double) AS speed, '{",".join(p.avoid)}' AS avoid, {str(p.curb_cut).lower()} AS curb_cut,
+      count(*) FILTER (WHERE {sql_passable(p)}) AS usable, round(coalesce(sum(length) FILTER (WHERE {sql_passable(p)}), 0), 3) AS usable_m FROM edge"""
 
 
-@query(f"SELECT * FROM (VALUES {_PROFILES}) AS t(profile, max_slope, hard_slope, speed, avoid, curb_cut)")
+@query(" UNION ALL ".join(_profile_sql(p) for p in graph.PROFILES.values()))
 def prj19_profiles(d):
-    """The mobility profiles as rows."""
+    """The mobility profiles as rows, each with the links of the network that it may use, and their metres."""
+    flags = F.create_map(*[x for p in graph.PROFILES.values() for x in (F.lit(p.id), graph.passable(d.edge, p))])
+    used = d.edge.select("length", F.explode(flags).alias("profile", "ok")).groupBy("profile").agg(F.count_if("ok").alias("usable"), F.round(F.coalesce(F.sum(F.when(F.col("ok"), F.col("length"))), F.lit(0.0)), 3).alias("usable_m"))
     rows = [(p.id, p.max_slope, p.limit, p.speed, ",".join(p.avoid), p.curb_cut) for p in graph.PROFILES.values()]
-    return d._spark.createDataFrame(rows, "profile string, max_slope double, hard_slope double, speed double, avoid string, curb_cut boolean")
+    return d._spark.createDataFrame(rows, "profile string, max_slope double, hard_slope double, speed double, avoid string, curb_cut boolean").join(used, "profile")
 
 
 @query("SELECT poi_id, lat, lng FROM poi WHERE lat BETWEEN 37.35 AND 37.42 AND lng BETWEEN 126.82 AND 126.95")
@@ -76,12 +81,11 @@ def flt17_charger_hint(d):
     return spatial.top_k(near, ["id"], [F.round("dist_m", 6), "poi_id"], 1).select("id", "poi_id")
 
 
-@query("""SELECT a.stop_id AS board, b.stop_id AS station, count(DISTINCT c.stop_id) AS reach FROM route_station a JOIN route_station b ON a.route_id = b.route_id AND a.seq < b.seq AND b.stop_id % 7 = 0 JOIN poi s ON s.poi_id = b.stop_id JOIN route_station c ON c.stop_id = b.stop_id + 1
-  WHERE a.stop_id % 20 = 0 GROUP BY 1, 2""")
+@query("""SELECT a.stop_id AS board, b.stop_id AS station, count(DISTINCT c.stop_id) AS reach FROM route_station a JOIN route_station b ON a.route_id = b.route_id AND a.seq < b.seq AND b.stop_id % 7 = 0 JOIN poi s ON s.poi_id = b.stop_id JOIN route_station c ON c.stop_id = b.stop_id + 1 GROUP BY 1, 2""")
 def jn07_chain(d):
     """From stops by bus to stations, and on by one hop: three joins in a row."""
     on = d.route_station
-    a = on.where("stop_id % 20 = 0").select("route_id", F.col("stop_id").alias("board"), F.col("seq").alias("sa"))
+    a = on.select("route_id", F.col("stop_id").alias("board"), F.col("seq").alias("sa"))
     b = on.where("stop_id % 7 = 0").select("route_id", F.col("stop_id").alias("station"), F.col("seq").alias("sb"))
     rides = a.join(b, "route_id").where("sa < sb").select("board", "station").distinct().join(d.poi.select(F.col("poi_id").alias("station")), "station", "left_semi")
     hops = on.select((F.col("stop_id") - 1).alias("station"), "stop_id").distinct()
@@ -159,10 +163,10 @@ def snk11_active_overrides(d):
     return _warnings(d).where(~F.col("rejected")).select("override_id", "cell", "value")
 
 
-@query(f"SELECT report_id, {_LABEL} <> '기타' AS told, '이용자 제보: ' || {_LABEL} || CASE WHEN report_id % 3 = 0 THEN '' ELSE '{_PENDING}' END AS text FROM report WHERE user_id % 2 = 0")
+@query(f"SELECT report_id, {_LABEL} <> '기타' AS told, '이용자 제보: ' || {_LABEL} || CASE WHEN report_id % 3 = 0 THEN '' ELSE '{_PENDING}' END AS text FROM report")
 def snk15_warning_text(d):
     text_ = warning_text(F.col("reason"), F.col("report_id") % 3 == 0)
-    return d.report.where("user_id % 2 = 0").select("report_id", F.col("reason").isin(*_LABELS).alias("told"), text_.alias("text"))
+    return d.report.select("report_id", F.col("reason").isin(*_LABELS).alias("told"), text_.alias("text"))
 
 
 @query(f"""SELECT cell, '이용자 제보: ' || string_agg(label, ', ' ORDER BY first) || CASE WHEN bool_or(pending) THEN '{_PENDING}' ELSE '' END AS warning FROM

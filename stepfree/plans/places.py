@@ -202,7 +202,7 @@ def json01_extract(d):
 def agg11_provider_merge(d):
     """Providers of a region merged: their services, the first of them, and how many."""
     merged = d.poi.groupBy("region").agg(F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"), F.min("poi_id").alias("first_id"), F.count("*").alias("n"))
-    return merged.join(F.broadcast(d.nation), F.col("region") == F.col("n_nationkey")).select("region", F.col("n_name").alias("region_name"), "kinds", "first_id", "n")
+    return merged.join(d.nation, F.col("region") == F.col("n_nationkey")).select("region", F.col("n_name").alias("region_name"), "kinds", "first_id", "n")
 
 
 @query(f"""WITH line AS (SELECT i, cast(37.30 as double) + i * 0.004 AS lat, cast(126.80 as double) + i * 0.005 AS lng FROM range(0, 40) t(i))

@@ -3,7 +3,6 @@
 import math
 import random
 
-import pytest
 from pyspark.sql import functions as F
 
 from stepfree.operators import greedy, topology
@@ -39,9 +38,8 @@ def add(links, a, b):
     links.setdefault(b, set()).add(a)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_choices_equal_those_one_by_one(spark, seed):
-    rng = random.Random(seed)
+def test_choices_equal_those_one_by_one(spark):
+    rng = random.Random(1)
     rows = candidates(rng, 30, 120)
     before = [(rng.randrange(30), rng.randrange(30)) for _ in range(10)]
     frame = spark.createDataFrame(rows, CANDIDATES)

@@ -56,3 +56,32 @@ def test_stairs_rule(spark):
     covers = spark.createDataFrame([(r[0], r[4]) for r in rows if r[4]], "id long, inside_m double")
     got = {r["id"]: (r["link_type"], r["orig_link_type"]) for r in polygons.stairs(edges, covers, ["id"]).collect()}
     assert {i for i, (k, _) in got.items() if k == "steps"} == {1, 6} and got[1][1] == "sidewalk" and got[4] == ("overpass", None)
+
+
+def test_blocked_sights_equal_all_pairs(spark):
+    rng = random.Random(5)
+    shapes = []
+    for i in range(12):
+        cx, cy = rng.uniform(0, 200), rng.uniform(0, 200)
+        shapes.append((i, [[(cx + a, cy + b) for a, b in ((-9, -6), (8, -7), (10, 9), (-7, 8))]]))
+    walls = [tuple(rng.uniform(0, 200) for _ in range(4)) for _ in range(8)] + [(10.0, 10.0, 10.0, 10.0), (40.0, 0.0, 40.0, 200.0)]
+    sights = [(i, *(rng.uniform(0, 200) for _ in range(4))) for i in range(120)]
+    sights += [(200 + i, *[c + rng.uniform(-4, 4) for c in shapes[i % 12][1][0][0]], *(rng.uniform(0, 200) for _ in range(2))) for i in range(24)] + [(300, 5.0, 5.0, 5.0, 5.0)]
+    side = lambda a, b, p: (b[0] - a[0]) * (p[1] - a[1]) - (b[1] - a[1]) * (p[0] - a[0])
+    by_house, by_wall = set(), set()
+    for i, x1, y1, x2, y2 in sights:
+        a, b = (x1, y1), (x2, y2)
+        for _, rings in shapes if a != b else ():
+            if not inside(rings, *a) and not inside(rings, *b) and any(inside(rings, x1 + (x2 - x1) * k / 4000, y1 + (y2 - y1) * k / 4000) for k in range(4001)):
+                by_house.add(i)
+        for u1, v1, u2, v2 in walls:
+            c, d = (u1, v1), (u2, v2)
+            if side(a, b, c) * side(a, b, d) < 0 and side(c, d, a) * side(c, d, b) < 0:
+                by_wall.add(i)
+    lines, houses = spark.createDataFrame(sights, SEGS), spark.createDataFrame([shape(i, r) for i, r in shapes], SHAPES)
+    barriers = spark.createDataFrame(walls, "x1 double, y1 double, x2 double, y2 double")
+    keys = lambda df: {r["id"] for r in df.collect()}
+    for cell in (7.0, 30.0):
+        assert keys(polygons.blocked(lines, ["id"], walls=barriers, cell=cell)) == by_wall
+        assert keys(polygons.blocked(lines, ["id"], houses, barriers, cell)) == by_house | by_wall
+    assert by_house - by_wall and keys(polygons.blocked(lines, ["id"])) == set()
