@@ -42,10 +42,24 @@ VIEWS = {
 _BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "conversations")
 
 
+def broadcast_by_measure(spark: SparkSession) -> None:
+    """Lets joins broadcast a side by its measured size only, up to the session's own threshold.
+
+    The tables' keys take a byte or two a row in their files, so estimates from files call tables small that don't fit the driver once they are read,
+    copied to cells or to salts.
+    """
+    most = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    if most != "-1":
+        if spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold", None) is None:
+            spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", most)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+
+
 class Domain:
     """Views over one folder of tables; each attribute is a DataFrame."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
+        broadcast_by_measure(spark)
         self._spark, self._dir = spark, sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:

@@ -91,3 +91,18 @@ def test_photos(spark):
     rows = [(0, jpeg), (1, "data:image/jpeg;base64," + jpeg), (2, "not base64!"), (3, big), (4, None), (5, base64.b64encode(b"GIF89a" + b"x" * 9).decode())]
     got = {r["i"]: r["m"] for r in spark.createDataFrame(rows, "i int, p string").select("i", mutations.photo_mime(F.col("p")).alias("m")).collect()}
     assert got == {0: "image/jpeg", 1: "image/jpeg", 2: None, 3: None, 4: None, 5: None}
+
+
+def test_joins_of_the_views_are_broadcast_by_measured_sizes_only(spark):
+    from pyspark.sql import functions as F
+
+    from stepfree.sources.driver import Domain
+
+    own = spark.newSession()  # a session of its own, as the settings stay
+    own.conf.set("spark.sql.autoBroadcastJoinThreshold", "77777")
+    d = Domain(own, "/root/testdata/sf0.01")
+    Domain(own, "/root/testdata/sf0.01")
+    assert own.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold") == "77777"
+    copies = d.node.select(F.col("node_id").alias("u"), F.explode(F.sequence(F.lit(1), F.lit(50))).alias("n"))
+    plan = d.edge.join(copies, "u")._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" not in plan.split("Join Inner")[0] and "SortMergeJoin" in plan
