@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta, timezone
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,6 +51,62 @@ def test_batches_restart_and_late_rows_equal_a_replay(spark, tmp_path, tmp_path_
     assert {r[2] for r in got} == set(range(160))
 
 
+class Handle:
+    """A key's list and timers, that counts what is asked of it."""
+
+    def __init__(self):
+        self.rows, self.timers, self.calls, self.got = [], set(), 0, None
+
+    def getValueState(self, *_):
+        return self
+
+    getListState = getValueState
+
+    def appendList(self, rows):
+        self.calls, self.rows = self.calls + 1, self.rows + rows
+
+    def put(self, rows):
+        self.calls, self.rows = self.calls + 1, rows
+
+    def clear(self):
+        self.rows = []
+
+    def exists(self):
+        return self.got is not None
+
+    def get(self):
+        return self.got if self.got is not None and not self.rows else list(self.rows)
+
+    def update(self, value):
+        self.got = value
+
+    def listTimers(self):
+        return list(self.timers)
+
+    def registerTimer(self, ms):
+        self.calls += 1
+        self.timers.add(ms)
+
+    def getCurrentWatermarkInMs(self):
+        return self.now
+
+    getExpiryTimeInMs = getCurrentWatermarkInMs
+
+
+def test_a_crowded_key_has_one_timer_and_few_entries():
+    handle, n = Handle(), 30_000
+    own = keyed._Keyed(keyed.ANSWERS, "key")
+    own.init(handle)
+    handle.now = 0
+    rows = pd.DataFrame({"ms": [i * 1000 + 1 for i in reversed(range(n))] + [None], "number": range(n + 1), "answer": "a", "error": [None, False, True] * (n // 3) + [None]})
+    list(own.handleInputRows(("k",), iter([rows[:20_000], rows[20_000:]]), handle))
+    assert handle.timers == {1} and handle.calls <= 12 and sum(len(r[0]) for r in handle.rows) == n
+    handle.now = 10_000_000
+    first = list(own.handleExpiredTimer(("k",), handle, handle))
+    assert len(first[0]) == 10_000 and handle.timers == {1, 10_000_001}
+    assert sum(len(r[0]) for r in handle.rows) == n - 10_000
+
+
 def test_folds():
     step = lambda fold, rows: [r[2:] for r in keyed.replay(rows, fold)]
     assert step(keyed.PROGRESS, [(1, 1, 10.0, 0.0), (2, 2, 8.0, 31.0), (3, 3, 50.0, 99.0), (4, 4, 20.0, 30.0), (5, 5, 15.0, None), (6, 6, None, 31.0)]) == [
