@@ -55,11 +55,38 @@ def broadcast_by_measure(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
 
 
+#: Bytes of a file, and of a shuffle, that a task takes at most; and of input for each partition of a shuffle.
+READ_BYTES, TASK_BYTES, INPUT_BYTES = 32 << 20, 8 << 20, 16 << 20
+
+
+def _bytes(text: str) -> int:
+    number, unit = re.fullmatch(r"(-?\d+)\s*([kmgtp]?)(?:i?b)?", text.strip().lower()).groups()
+    return int(number) << (10 * " kmgtp".index(unit or " "))
+
+
+def small_tasks(spark: SparkSession, sf_dir: str) -> None:
+    """Bounds what one task takes, so that its memory doesn't grow with the tables; smaller settings of the session stay.
+
+    The keys shrink to a byte or two a row in files and shuffles, so the usual sizes of tasks, which are of bytes there, hold many millions of rows
+    in memory. The number of partitions of a shuffle grows with the tables; small ones are put together by Spark.
+    """
+    for key, most in (("spark.sql.files.maxPartitionBytes", READ_BYTES), ("spark.sql.adaptive.advisoryPartitionSizeInBytes", TASK_BYTES)):
+        if _bytes(spark.conf.get(key)) > most:
+            spark.conf.set(key, str(most))
+    at = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    size = at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    least = int(spark.conf.get(key, None) or spark.conf.get("spark.sql.shuffle.partitions"))
+    if size // INPUT_BYTES > least:
+        spark.conf.set(key, str(size // INPUT_BYTES))
+
+
 class Domain:
     """Views over one folder of tables; each attribute is a DataFrame."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         broadcast_by_measure(spark)
+        small_tasks(spark, sf_dir)
         self._spark, self._dir = spark, sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:

@@ -106,3 +106,20 @@ def test_joins_of_the_views_are_broadcast_by_measured_sizes_only(spark):
     copies = d.node.select(F.col("node_id").alias("u"), F.explode(F.sequence(F.lit(1), F.lit(50))).alias("n"))
     plan = d.edge.join(copies, "u")._jdf.queryExecution().sparkPlan().toString()
     assert "BroadcastHashJoin" not in plan.split("Join Inner")[0] and "SortMergeJoin" in plan
+
+
+def test_tasks_are_small_and_smaller_settings_stay(spark, tmp_path):
+    from stepfree.sources import driver
+
+    keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.initialPartitionNum")
+    old = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        spark.conf.set(keys[0], "128MB")
+        spark.conf.set(keys[1], "1m")
+        (tmp_path / "lineitem.parquet").write_bytes(b"0" * (10 * driver.INPUT_BYTES))
+        driver.Domain(spark, str(tmp_path))
+        assert driver._bytes(spark.conf.get(keys[0])) == driver.READ_BYTES and spark.conf.get(keys[1]) == "1m"
+        assert int(spark.conf.get(keys[2])) >= 10
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
