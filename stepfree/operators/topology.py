@@ -55,6 +55,9 @@ def touches(lines: DataFrame, tol: float = SNAP_M) -> DataFrame:
     ends = _ends(lines.withColumnRenamed("line_id", "other"), "other")
     ends = ends.withColumns({"cx": F.floor(F.col("x") / CELL_M), "cy": F.floor(F.col("y") / CELL_M)})
     near = _in_cells(segments(lines), tol).join(ends, ["cx", "cy"]).where("line_id <> other")
+    # most ends in a cell lie outside the segment's box; the exact distance of the rest is rounded, which takes time
+    inside = lambda c, a, b: F.col(c).between(F.least(a, b) - tol - 1e-6, F.greatest(a, b) + tol + 1e-6)
+    near = near.where(inside("x", "x1", "x2") & inside("y", "y1", "y2"))
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     square = dx * dx + dy * dy
     t = F.when(square > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("x") - F.col("x1")) * dx + (F.col("y") - F.col("y1")) * dy) / square))).otherwise(0.0)
@@ -93,8 +96,11 @@ def crossings(lines: DataFrame) -> DataFrame:
     """line_id < other with x, y: where segments of two measured lines cross; touching is not crossing."""
     segs = segments(lines)
     own = _in_cells(segs, 0.0)
-    there = _in_cells(segs.select(F.col("line_id").alias("other"), F.col("i").alias("j"), F.col("x1").alias("u1"), F.col("y1").alias("v1"), F.col("x2").alias("u2"), F.col("y2").alias("v2"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")), 0.0).drop("x1", "y1", "x2", "y2")
-    pairs = own.join(there, ["cx", "cy"]).where("line_id < other").dropDuplicates(["line_id", "i", "other", "j"])
+    there = own.select(F.col("line_id").alias("other"), F.col("i").alias("j"), F.col("x1").alias("u1"), F.col("y1").alias("v1"), F.col("x2").alias("u2"), F.col("y2").alias("v2"), "cx", "cy")
+    # two segments meet in all cells that both lie in; the first of these counts
+    low = lambda a, b, c, d: F.floor(F.greatest(F.least(a, b), F.least(c, d)) / CELL_M)
+    first = (F.col("cx") == low("x1", "x2", "u1", "u2")) & (F.col("cy") == low("y1", "y2", "v1", "v2"))
+    pairs = own.join(there, ["cx", "cy"]).where((F.col("line_id") < F.col("other")) & first)
     side = lambda ax, ay, bx, by, px, py: (F.col(bx) - F.col(ax)) * (F.col(py) - F.col(ay)) - (F.col(by) - F.col(ay)) * (F.col(px) - F.col(ax))
     a, b = side("x1", "y1", "x2", "y2", "u1", "v1"), side("x1", "y1", "x2", "y2", "u2", "v2")
     c, d = side("u1", "v1", "u2", "v2", "x1", "y1"), side("u1", "v1", "u2", "v2", "x2", "y2")

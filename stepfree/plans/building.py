@@ -16,7 +16,8 @@ _EX, _EY = f"{_MX} + ({_STEPS[1][0]}) * cast(2 as double)", f"{_MY} + ({_STEPS[1
 
 def _lines(d):
     at = lambda x, y: F.struct(F.expr(x).alias("x"), F.expr(y).alias("y"))
-    return topology.measured(d.part.select(F.col("p_partkey").alias("line_id"), F.array(at(_X, _Y), at(_MX, _MY), at(_EX, _EY)).alias("pts")))
+    part = d.part.select("p_partkey", "p_size").repartition("p_partkey")  # a file of few bytes holds many lines
+    return topology.measured(part.select(F.col("p_partkey").alias("line_id"), F.array(at(_X, _Y), at(_MX, _MY), at(_EX, _EY)).alias("pts")))
 
 
 _LINE = f"SELECT p_partkey AS line_id, {_X} AS ax, {_Y} AS ay, {_MX} AS bx, {_MY} AS by_, {_EX} AS ex, {_EY} AS ey FROM part"

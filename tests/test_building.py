@@ -110,6 +110,13 @@ def test_crossings_equal_all_pairs(spark):
     assert set(got) == want and len(got) == len(want) > 50
 
 
+def test_pairs_of_segments_are_not_shuffled_to_find_repeats(spark):
+    lines = topology.measured(spark.createDataFrame([(i, [{"x": 0.0, "y": i * 9.0}, {"x": 90.0, "y": 90.0 - i}]) for i in range(9)], "line_id long, pts array<struct<x: double, y: double>>"))
+    found = topology.crossings(lines)
+    assert "Aggregate" not in found._jdf.queryExecution().toString()
+    assert found.count() == found.dropDuplicates(["line_id", "i", "other", "j"]).count() > 0
+
+
 def test_network_equals_building_one_by_one(spark):
     rng = random.Random(6)
     spots = [(rng.uniform(0, 90), rng.uniform(0, 90)) for _ in range(45)]
