@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +13,8 @@ from stepfree.scratch import drop, materialize
 
 SHORT_LINK_M = 15.0  # slopes of shorter links are measurement noise and never block
 DERIVED_COST = 4.0
+#: A stretch of ids, whose links one task joins, has 2**STRETCH_BITS nodes at most, about 100 bytes each.
+STRETCH_BITS = 14
 # The types of links.
 LINK_TYPES = ("sidewalk", "road", "crossing", "steps", "overpass", "underpass", "ramp", "elevator", "unknown")
 
@@ -130,6 +133,52 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
+def _joined_inside(batches):
+    """For links sorted by the stretch that both ends lie in: each node with the smallest one that it is joined with inside the stretch."""
+    at, up = None, {}
+
+    def root(x):
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    def close():
+        return pa.record_batch([pa.array(list(up), pa.int64()), pa.array([root(x) for x in up], pa.int64())], names=["node", "root"])
+
+    for batch in batches:
+        for u, v in zip(batch["u"].to_pylist(), batch["v"].to_pylist(), strict=True):
+            if u >> STRETCH_BITS != at:
+                if up:
+                    yield close()
+                at, up = u >> STRETCH_BITS, {}
+            up.setdefault(u, u)
+            up.setdefault(v, v)
+            a, b = root(u), root(v)
+            if a != b:
+                up[max(a, b)] = min(a, b)
+    if up:
+        yield close()
+
+
+def components_of_places(edges: DataFrame) -> DataFrame:
+    """What ``components`` gives, with few rows in its rounds where nodes that are linked mostly have ids near each other.
+
+    The links inside a stretch of ids are joined by one task; those between stretches alone go through rounds.
+    """
+    stretch = lambda c: F.shiftright(c, STRETCH_BITS)
+    pair = lambda a, b: F.struct(F.col(a).alias("u"), F.col(b).alias("v"))
+    e = edges.where("u <> v").select(F.col("u").cast("bigint").alias("u"), F.col("v").cast("bigint").alias("v"))
+    # an end of a link between stretches is a node of its own stretch
+    own = F.when(stretch("u") == stretch("v"), F.array(pair("u", "v"))).otherwise(F.array(pair("u", "u"), pair("v", "v")))
+    rows = e.select(F.explode(own).alias("x")).select("x.u", "x.v").repartition(stretch("u")).sortWithinPartitions(stretch("u"))
+    inside = materialize(rows.mapInArrow(_joined_inside, "node bigint, root bigint"), "inside")
+    at = lambda n: inside.select(F.col("node").alias(n), F.col("root").alias(f"root_{n}"))
+    between = salted_join(salted_join(e.where(stretch("u") != stretch("v")), at("u"), "u"), at("v"), "v")
+    roots = components(between.select(F.col("root_u").alias("u"), F.col("root_v").alias("v")))
+    whole = inside.withColumnRenamed("root", "own").join(roots.select(F.col("node").alias("own"), "root"), "own", "left")
+    return whole.select("node", F.coalesce("root", "own").alias("root"))
+
+
 def largest_component(edges: DataFrame, p: Profile) -> DataFrame:
     """The nodes of the largest part that the profile can reach; of equal parts the one with the smallest node."""
     found = components(edges.where(passable(edges, p)))

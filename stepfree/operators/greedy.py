@@ -7,6 +7,8 @@ among them. A round is a few joins, and a table cuts its lineage.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -84,26 +86,37 @@ def spanning(candidates: DataFrame, links: DataFrame | None = None, most_rounds:
 def distant(candidates: DataFrame, links: DataFrame, most_rounds: int = 10_000) -> DataFrame:
     """Those taken if a candidate's ends must not be within three links of each other, counting those taken before. links: (u, v) there before."""
     there = materialize(both_ways(links.where("u <> v").select("u", "v").distinct()).distinct().withColumn("rank", F.lit(None).cast(_RANK)), "links")
-    start = materialize(_ranked(candidates).withColumn("taken", F.lit(None).cast("boolean")), "greedy")
-
-    def later(*ranks):
-        """The last of some ranks; links that were there have none."""
-        return F.array_max(F.array(*ranks))
-
-    def step(state: DataFrame) -> DataFrame:
-        # candidates that were taken are links now, those undecided may become some
-        own = state.where("taken is not false").select(F.col("a").alias("u"), F.col("b").alias("v"), F.when(F.col("taken").isNull(), F.col("rank")).alias("rank"))
-        arcs = there.unionByName(both_ways(own, "rank"))
-        hop = lambda n: arcs.select(F.col("u").alias(f"x{n - 1}"), F.col("v").alias(f"x{n}"), F.col("rank").alias(f"r{n}"))
-        earlier = lambda n: F.col(f"r{n}").isNull() | (F.col(f"r{n}") < F.col("own"))
-        ask = state.where("taken is null").select(F.col("rank").alias("own"), F.col("a").alias("x0"), "b")
-        one = ask.join(hop(1), "x0").where(earlier(1))
-        two = one.join(hop(2), "x1").where(earlier(2) & (F.col("x2") != F.col("x0")))
-        last = arcs.select(F.col("u").alias("at"), F.col("v").alias("b"), F.col("rank").alias("r3"))
-        three = two.join(last, (two["x2"] == last["at"]) & (two["b"] == last["b"])).where(earlier(3)).select("own", later("r1", "r2", "r3").alias("by"))
-        paths = one.where("x1 = b").select("own", F.col("r1").alias("by")).unionByName(two.where("x2 = b").select("own", later("r1", "r2").alias("by"))).unionByName(three)
-        met = paths.groupBy("own").agg(F.bool_or(F.col("by").isNull()).alias("sure")).withColumnRenamed("own", "rank")
-        new = F.when(F.col("taken").isNotNull(), F.col("taken")).when(F.col("sure").isNull(), True).when(F.col("sure"), False)
-        return state.join(met, "rank", "left").select(*_KEY, "rank", new.alias("taken"))
-
-    return _rounds(start, step, most_rounds)
+    state = materialize(_ranked(candidates), "candidates")
+    arcs = there.unionByName(both_ways(state.select(F.col("a").alias("u"), F.col("b").alias("v"), "rank"), "rank"))
+    hop = lambda n: arcs.select(F.col("u").alias(f"x{n - 1}"), F.col("v").alias(f"x{n}"), F.col("rank").alias(f"r{n}"))
+    earlier = lambda n: F.col(f"r{n}").isNull() | (F.col(f"r{n}") < F.col("own"))
+    ask = state.select(F.col("rank").alias("own"), F.col("a").alias("x0"), "b")
+    one = ask.join(hop(1), "x0").where(earlier(1))
+    two = one.join(hop(2), "x1").where(earlier(2) & (F.col("x2") != F.col("x0")))
+    last = arcs.select(F.col("u").alias("at"), F.col("v").alias("b"), F.col("rank").alias("r3"))
+    three = two.join(last, (two["x2"] == last["at"]) & (two["b"] == last["b"])).where(earlier(3))
+    on = lambda rows, *ranks: rows.select("own", F.array_distinct(F.array_compact(F.array(*ranks))).alias("on"))
+    # the ways between the ends of a candidate, as the earlier candidates that each depends on, are found once
+    ways = materialize(on(one.where("x1 = b"), "r1").unionByName(on(two.where("x2 = b"), "r1", "r2")).unionByName(on(three, "r1", "r2", "r3")), "ways")
+    # one way by links that are there is enough; those without any way are taken
+    met = ways.groupBy("own").agg(F.min(F.size("on")).alias("least"))
+    state = state.join(met.withColumnRenamed("own", "rank"), "rank", "left")
+    state = materialize(state.select("rank", F.when(F.col("least").isNull(), True).when(F.col("least") == 0, False).alias("taken")), "greedy")
+    done = [state.where("taken").select("rank")]
+    for _ in range(most_rounds):
+        undecided = state.where("taken is null").select("rank")
+        if undecided.isEmpty():
+            taken = functools.reduce(DataFrame.unionByName, done)
+            return taken.select("rank.a", "rank.b", "rank.d")
+        # of the ways of candidates still undecided those by links that were not taken are closed, and links that were taken are there
+        left = ways.withColumnRenamed("own", "rank").join(undecided, "rank").withColumn("way", F.monotonically_increasing_id())
+        left = materialize(left, "left")
+        steps = left.select("way", F.explode("on").alias("rank")).join(state.where("taken is not null"), "rank", "left")
+        steps = steps.groupBy("way").agg(F.bool_or(~F.col("taken")).alias("closed"), F.collect_list(F.when(F.col("taken").isNull(), F.col("rank"))).alias("on"))
+        old, ways = ways, materialize(left.select("way", F.col("rank").alias("own")).join(steps, "way").where("closed is not true").select("own", "on"), "ways")
+        met = ways.groupBy("own").agg(F.min(F.size("on")).alias("least")).withColumnRenamed("own", "rank")
+        new = F.when(F.col("least").isNull(), True).when(F.col("least") == 0, False).alias("taken")
+        state = materialize(undecided.join(met, "rank", "left").select("rank", new), "greedy")
+        done.append(state.where("taken").select("rank"))
+        drop(old, left)
+    raise RuntimeError(f"undecided after {most_rounds} rounds")

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from stepfree.scratch import materialize
 
-from .graph import components, salted_join
+from .graph import components, components_of_places, salted_join
 from .greedy import distant
+from .overlay import _spread
 
 # Fixed values, in metres: how near ends are the same, the widest gap that is bridged, the shortest part that stays, the shortest piece.
 SNAP_M, BRIDGE_M, LEAST_PART_M, LEAST_PIECE_M = 1.5, 6.0, 30.0, 0.5
@@ -139,8 +140,14 @@ def build(lines: DataFrame, tol: float = SNAP_M, bridge: float = BRIDGE_M, least
     if bridge > 0:
         bridges = distant(close(nodes, "node_id", bridge), links)
         links = links.unionByName(bridges.select(F.lit(None).cast("bigint").alias("line_id"), F.lit(None).cast("int").alias("part"), F.col("a").alias("u"), F.col("b").alias("v"), F.col("d").alias("length"), F.lit(True).alias("bridged")))
-    roots = components(links.select("u", "v"))
-    rooted = links.join(roots.select(F.col("node").alias("u"), "root"), "u")
+    # ids in order of x join nodes far apart; along a curve through the plane near ones have near ids
+    part = lambda c: _spread(F.pmod(F.floor(F.col(c) / CELL_M) + (1 << 23), F.lit(1 << 24)).cast("bigint"))
+    curve = nodes.select("node_id", F.shiftleft(part("y"), 1).bitwiseOR(part("x")).alias("along")).repartitionByRange("along", "node_id").sortWithinPartitions("along", "node_id")
+    curve = materialize(curve.select("node_id", F.monotonically_increasing_id().alias("place")), "curve")
+    at = lambda n: curve.select(F.col("node_id").alias(n), F.col("place").alias(f"place_{n}"))
+    links = materialize(links.join(at("u"), "u").join(at("v"), "v"), "joined")
+    roots = components_of_places(links.select(F.col("place_u").alias("u"), F.col("place_v").alias("v")))
+    rooted = links.join(roots.select(F.col("node").alias("place_u"), "root"), "place_u")
     stay = rooted.groupBy("root").agg(F.sum("length").alias("whole")).where(F.col("whole") >= least_part).select("root")
     links = salted_join(rooted, stay, "root").select("line_id", "part", "u", "v", "length", "bridged")
     return nodes.join(links.select(F.explode(F.array("u", "v")).alias("node_id")).distinct(), "node_id", "left_semi"), links

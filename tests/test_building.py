@@ -174,3 +174,21 @@ def test_network_equals_building_one_by_one(spark):
     assert sorted(got, key=key) == sorted(want, key=key)
     assert any(x[3] is None for x in want) and len(want) < len(links)
     assert topology.build(frame.where(F.lit(False)))[1].count() == 0
+
+
+def test_components_of_places_equal_plain_ones_and_leave_few_links_to_rounds(spark, monkeypatch):
+    """Chains within stretches of ids and between them, hubs, and negative ids."""
+    import random
+
+    from stepfree.operators import graph
+
+    rng, width = random.Random(5), 1 << graph.STRETCH_BITS
+    links = [(k * width + i, k * width + i + rng.choice([1, 1, 2])) for k in range(-2, 4) for i in range(60)] + [(3, 2 * width + 5), (width + 7, -width + 9), (9 * width, 9 * width + 1), (3, 3)]
+    links += [(4 * width, k * width + 200 + i) for k in range(3) for i in range(5)]
+    edges = spark.createDataFrame(links, "u long, v long")
+    want = {tuple(r) for r in graph.components(edges).collect()}
+    rounds, plain = [], graph.components
+    monkeypatch.setattr(graph, "components", lambda e: rounds.append(e.count()) or plain(e))
+    assert {tuple(r) for r in graph.components_of_places(edges).select("node", "root").collect()} == want and len({r for _, r in want}) > 3
+    assert rounds == [sum(u // width != v // width for u, v in links)]
+    assert graph.components_of_places(edges.limit(0)).count() == 0
