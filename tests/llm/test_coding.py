@@ -121,3 +121,18 @@ def test_columns_and_cases(spark, documents):
     got = viterbi.decode(viterbi.encode(docs.union(documents.select("doc_id", "text", "lang")))).collect()
     assert all(r["decoded"] == (r["text"] or "") for r in got)
     assert len(got) == len(odd) + documents.count()
+
+
+def test_words_of_letters_are_looked_up_without_their_spelling():
+    """Words of ASCII letters, with or without what follows them, take the short way; the ids are those of the whole text."""
+    from unittest import mock
+
+    from stepfree.llm import common
+
+    encoder = common.ByteBpeEncoder(common.tokenizer_path("byte_bpe_50k.json"))
+    text = "Plain words, and (more) words! it's x1 café end.\nnext line; a'b' - 'quoted' zz...\n\n two  spaces "
+    want = encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(encoder.encode(text), np.uint16).tolist() == want
+    with mock.patch.object(encoder, "_ids", side_effect=AssertionError), mock.patch.object(common, "_spelled", side_effect=AssertionError):
+        assert encoder.words["brandnew"] and encoder.words["another,"] == encoder.words["another"] + encoder.tails[","]
+    assert encoder.words[""] is None
