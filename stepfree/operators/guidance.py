@@ -15,10 +15,14 @@ from pyspark.sql import functions as F
 
 from stepfree.functions.geo import bearing
 
+from . import areas
+
 # Turn thresholds in degrees, and lengths in metres.
 STRAIGHT, SLIGHT, TURN, SHARP = 20.0, 45.0, 120.0, 150.0
 CARRY_M, ABSORB_M, MERGE_M = 12.0, 8.0, 15.0
 LANDMARK_GAP_M, LANDMARK_WINDOW_M = 150.0, 60.0
+#: Routes that begin in the same 2**STRETCH_BITS node ids look their links up together.
+STRETCH_BITS = 12
 SPECIAL = ("crossing", "elevator", "ramp", "steps")
 
 
@@ -99,6 +103,54 @@ def with_bearings(path_links: DataFrame, edges: DataFrame, nodes: DataFrame) ->
     return rows.withColumn("bearing", bearing(F.col("u_lat"), F.col("u_lng"), F.col("v_lat"), F.col("v_lng")))
 
 
+def steps_of_routes(routes: DataFrame, edges: DataFrame, nodes: DataFrame, key: str = "trip") -> DataFrame:
+    """Steps of each route (key, path), as ``steps`` gives them from the links of its path.
+
+    Links come to a task once for all routes that begin in a stretch of nodes, and are looked up there. Of parallel links the shortest counts.
+    """
+    kind = routes.schema[key].dataType.simpleString()
+    own = routes.select(F.col(key).alias("route"), "path", F.shiftright(F.element_at("path", 1), STRETCH_BITS).alias("area"))
+    hops = own.select("area", F.explode(F.arrays_zip(F.slice("path", F.lit(1), F.size("path") - 1).alias("u"), F.slice("path", F.lit(2), F.size("path") - 1).alias("v"))).alias("hop")).select("area", "hop.*").distinct()
+    ends = F.least("u", "v"), F.greatest("u", "v")
+    plain = edges.groupBy(ends[0].alias("a"), ends[1].alias("b")).agg(F.min(F.struct("length", "link_type")).alias("e")).select("a", "b", "e.length", "e.link_type")
+    both = plain.select(F.col("a").alias("u"), F.col("b").alias("v"), "a", "b").unionByName(plain.select(F.col("b").alias("u"), F.col("a").alias("v"), "a", "b").where("a <> b"))
+    links = with_bearings(both.select("u", "v"), plain.withColumnsRenamed({"a": "u", "b": "v"}), nodes)
+    near = hops.join(links, ["u", "v"]).select("area", "u", "v", "length", "link_type", "bearing")
+
+    def prepare(held):
+        u, v = (areas.column(held, c) for c in ("u", "v"))
+        ids = np.unique(np.concatenate([u, v]))
+        keys = np.searchsorted(ids, u) * len(ids) + np.searchsorted(ids, v)
+        order = np.argsort(keys)
+        kinds = pa.concat_arrays([b["link_type"] for b in held]).dictionary_encode() if held else pa.array([], pa.string()).dictionary_encode()
+        names = [*kinds.dictionary.to_pylist(), None]
+        codes = kinds.indices.fill_null(len(names) - 1).to_numpy(zero_copy_only=False)
+        return ids, keys[order], *(areas.column(held, c)[order] for c in ("length", "bearing")), codes[order], names
+
+    def serve(prepared, b):
+        ids, keys, length, bearings, codes, names = prepared
+        paths, n = b["path"].flatten().to_numpy(zero_copy_only=False), b["path"].value_lengths().to_numpy(zero_copy_only=False)
+        starts = np.append(0, np.cumsum(n)).tolist()
+        rows, sizes = [], []
+        for i in range(b.num_rows):
+            path = paths[starts[i] : starts[i + 1]]
+            if len(ids) and len(path) > 1:
+                at = np.minimum(np.searchsorted(ids, path), len(ids) - 1)
+                known = ids[at] == path
+                wanted = at[:-1] * len(ids) + at[1:]
+                where = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+                where = where[(keys[where] == wanted) & known[:-1] & known[1:]]
+            else:
+                where = np.zeros(0, np.int64)
+            got = fold_steps(length[where].tolist(), bearings[where].tolist(), [names[k] for k in codes[where].tolist()])
+            rows += [(j, *r) for j, r in enumerate(got)]
+            sizes.append(len(got))
+        columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int32(), pa.string(), pa.string(), pa.float64()))]
+        yield pa.record_batch([b["route"].take(pa.array(np.repeat(np.arange(len(sizes)), sizes))), *columns], names=[key, "idx", "maneuver", "link_type", "distance_m"])
+
+    return areas.beside(own, near, prepare, serve, f"{key} {kind}, idx int, maneuver string, link_type string, distance_m double")
+
+
 def thin(positions, tiers, offsets, ids) -> list[int]:
     """Greedy choice along a route: the next is at least the gap past the last; of those in the window after the first that
     qualifies, the best tier wins, then the smallest offset, then the earliest."""

@@ -148,3 +148,29 @@ def test_summary(spark):
     assert round(got[2]["score"], 6) == round(0.4 - 0.1, 6) and (got[2]["ramps"], got[2]["elevators"], got[2]["warnings"]) == (1, 1, 2)
     poor = {r["trip"]: r for r in routing.summary(routes, edges, p, 0.2).collect()}
     assert round(got[3]["score"], 6) == 0.7 and poor[3]["score"] == 0.6 and poor[3]["warnings"] == 1
+
+
+def test_steps_of_routes_equal_those_of_their_links(spark):
+    """Both directions, links between the same nodes, and links that are not there."""
+    import random
+
+    from stepfree.operators import routing
+
+    rng = random.Random(6)
+    nodes = spark.createDataFrame([(i, 37.3 + i // 10 * 0.0002 + rng.random() * 0.0001, 126.8 + i % 10 * 0.0002 + rng.random() * 0.0001) for i in range(99)], "node_id long, lat double, lng double")
+    pairs = [(i, j) for i in range(100) for j in (i + 1, i + 10) if j < 100 and (j - i == 10 or j % 10)]
+    edges = spark.createDataFrame([(u, v, rng.uniform(3, 40), rng.choice(["sidewalk", "road", "crossing", None])) if u % 2 else (v, u, 15.0, "steps") for u, v in pairs], "u long, v long, length double, link_type string")
+    near = {}
+    for u, v in pairs:
+        near.setdefault(u, []).append(v)
+        near.setdefault(v, []).append(u)
+    paths = []
+    for trip in range(60):
+        path = [rng.randrange(100)]
+        while len(path) < 12:
+            path.append(rng.choice(near[path[-1]]))
+        paths.append((trip, 0, path))
+    routes = spark.createDataFrame([*paths, (70, 0, [5, 77, 78])], "trip long, alternative int, path array<long>")
+    key = lambda rows: sorted((r["trip"], r["idx"], r["maneuver"], str(r["link_type"]), round(r["distance_m"], 9)) for r in rows)
+    want = key(guidance.steps(guidance.with_bearings(routing.path_links(routes), edges, nodes)).collect())
+    assert key(guidance.steps_of_routes(routes, edges, nodes).collect()) == want and len(want) > 300
